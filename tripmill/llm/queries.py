@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, url_filter
+from . import bpe, quality, simhash, url_filter
 from .common import table
 
 RULES = [
@@ -41,8 +41,31 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def tokenizer() -> tuple[str, str]:
+    """Rank file and pattern of the production tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer()
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path)
+    return done.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_rules": op2_quality_rules,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL}
