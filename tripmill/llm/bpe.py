@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches
+from .common import partitions, release, small_batches, tidy
 
 BLOCK_WORDS = 4_000_000
 _ODD = re.compile(r"^ | $| \s|\s ")
@@ -70,7 +70,7 @@ def _split(text: str | None) -> list[str]:
     return words
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Codes, list, list[int], list[np.ndarray]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], hold: bool = True) -> Iterator[tuple[int, _Codes, list, list[int], list[np.ndarray]]]:
     """(block, codes, doc ids, words of each, their codes) of at most BLOCK_WORDS words
     and one text more."""
     block, held = TaskContext.get().partitionId() << 24, 0
@@ -78,9 +78,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Codes, li
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = _split(text)
+            array = np.fromiter(map(codes.__getitem__, words), np.uint32, len(words))
+            if hold:
+                sizes.append(len(words))
+                arrays.append(array)
             ids.append(doc)
-            sizes.append(len(words))
-            arrays.append(np.fromiter(map(codes.__getitem__, words), np.uint32, len(words)))
             held += len(words)
             if held >= BLOCK_WORDS:
                 yield block, codes, ids, sizes, arrays
@@ -102,7 +104,7 @@ def _unpack(b: bytes) -> np.ndarray:
 
 def _words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, codes, *_ in _blocks(batches):
+        for block, codes, *_ in _blocks(batches, hold=False):
             deal: list[tuple[list[int], list[bytes]]] = [([], []) for _ in range(shards)]
             for word, code in codes.items():
                 raw = word[1:].encode() if word[0] == " " else b" " + word.encode()
@@ -171,6 +173,7 @@ def _encode_shards(path: str, pattern: str):
 def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
     """The ids of every text of a block, as little-endian unsigned 32-bit numbers."""
     docs, out = [], []
+    parts = pool = count = start = codes = None
     for row in left.to_pylist():
         count = np.zeros(row["n_words"], np.int64)
         start = np.zeros(row["n_words"], np.int64)
@@ -197,7 +200,10 @@ def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
             out += [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
             lo = hi
         docs += row["ids"]
-    return pa.table([pa.array(docs, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+    done = pa.table([pa.array(docs, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+    del parts, pool, out, count, start, codes
+    release()
+    return done
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -207,12 +213,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long"), "text")
     n = partitions(spark)
     words = (
-        source.mapInArrow(_words(4 * n), "shard int, block long, codes binary, sizes binary, words binary")
+        source.mapInArrow(tidy(_words(4 * n)), "shard int, block long, codes binary, sizes binary, words binary")
         .repartition(n, "shard")
         .sortWithinPartitions("shard")
-        .mapInArrow(_encode_shards(path, pattern), "block long, codes binary, counts binary, ids binary")
+        .mapInArrow(tidy(_encode_shards(path, pattern)), "block long, codes binary, counts binary, ids binary")
     )
-    blocks = source.mapInArrow(_positions, "block long, n_words long, ids array<long>, sizes binary, codes binary")
+    blocks = source.mapInArrow(tidy(_positions), "block long, n_words long, ids array<long>, sizes binary, codes binary")
     return (
         blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids binary")
     )
@@ -237,4 +243,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"]
             )
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, ids binary, decoded binary")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches
+from .common import partitions, small_batches, tidy
 
 _CONTROL = re.compile(r"\\|###|</turn>")
 _ROLE_CONTROL = re.compile(r"\\|###|</turn>|:")
@@ -124,7 +124,7 @@ def format_chats(events: DataFrame) -> DataFrame:
         .repartition(partitions(spark), "conv_id")
         .sortWithinPartitions("conv_id", "seq", "kind", "message", "role", "text")
         .select("conv_id", "kind", "message", "role", "text")
-        .mapInArrow(run, "conv_id long, formatted string, loss array<struct<start: long, end: long>>")
+        .mapInArrow(tidy(run), "conv_id long, formatted string, loss array<struct<start: long, end: long>>")
     )
 
 
@@ -153,4 +153,4 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(run, schema)
+    return formatted.select("conv_id", "formatted", "loss").mapInArrow(tidy(run), schema)

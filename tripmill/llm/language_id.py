@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, small_batches, tidy
 
 WINDOW, FILTERS, WIDTHS = 256, 12, (2, 3, 4)
 STRIDE = WINDOW - max(WIDTHS) + 1
@@ -167,5 +167,5 @@ def identify(docs: DataFrame) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text").mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double"
+        tidy(run), "doc_id long, held_out boolean, lang_pred string, score double"
     )

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _Codes, _pack, _unpack
-from .common import fold, partitions, small_batches, stage
+from .common import fold, partitions, small_batches, stage, tidy
 
 BLOCK_TOKENS = 3_000_000
 HELD_OUT, DELETED = 1, 0  # remainders of crc32 modulo 5
@@ -287,13 +287,13 @@ def score(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     shards = min(4 * n, 65521)
     answers = (
-        source.mapInArrow(_requests(shards), "shard int, block long, keys binary, rest binary, deleted binary")
+        source.mapInArrow(tidy(_requests(shards)), "shard int, block long, keys binary, rest binary, deleted binary")
         .repartition(n, "shard")
         .sortWithinPartitions("shard")
-        .mapInArrow(_answers, "block long, shard int, rest binary, deleted binary, known long")
+        .mapInArrow(tidy(_answers), "block long, shard int, rest binary, deleted binary, known long")
     )
     places = source.mapInArrow(
-        _positions, "block long, ids array<long>, roles array<long>, sizes binary, codes binary, low binary"
+        tidy(_positions), "block long, ids array<long>, roles array<long>, sizes binary, codes binary, low binary"
     )
     met = stage(
         places.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
@@ -327,6 +327,6 @@ def score(docs: DataFrame) -> DataFrame:
                 )
 
     return met.select("ids", "roles", "sizes", "codes", "words", "pairs").mapInArrow(
-        run,
+        tidy(run),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

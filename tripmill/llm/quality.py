@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stage
+from .common import small_batches, stage, tidy
 
 SYMBOLS = "#*$%&|<>"
 _ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -83,7 +83,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
     one narrow pass."""
     small_batches(docs.sparkSession)
     counts = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
-    return docs.mapInArrow(_batches, T.StructType([docs.schema[0], *counts]))
+    return docs.mapInArrow(tidy(_batches), T.StructType([docs.schema[0], *counts]))
 
 
 def votes(counts: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stage
+from .common import partitions, small_batches, stage, tidy
 from .components import components
 
 BUCKET_LIMIT = 2048
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -148,7 +148,7 @@ def links(fps: DataFrame, distance: int = 3, blocks: int = 6, limit: int = BUCKE
             .select("mask", "bucket", "fp")
             .repartition(partitions(spark), "mask", "bucket")
             .sortWithinPartitions("mask", "bucket", "fp")
-            .mapInArrow(_forest(distance), "a long, b long")
+            .mapInArrow(tidy(_forest(distance)), "a long, b long")
         )
         found = small if found is None else found.union(small)
         if met.where(F.col("n") > limit).isEmpty():

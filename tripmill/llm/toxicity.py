@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches, stage
+from .common import fold, small_batches, stage, tidy
 
 FIT_ROWS, MIN_DOCS, MIN_ODDS, MAX_TERMS = 8_000, 4, 2.0, 5_000
 PREFIXES = (4, 5, 6, 7, 8)
@@ -117,7 +117,7 @@ def _counted(sample: DataFrame, of) -> DataFrame:
             [pa.array(keys, pa.string()), *(pa.array([s[k] for k in keys], pa.int64()) for s in seen)], names=["term", "toxic", "clean"]
         )
 
-    each = sample.mapInArrow(run, "term string, toxic long, clean long")
+    each = sample.mapInArrow(tidy(run), "term string, toxic long, clean long")
     return each.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -145,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
             f = [lexicon.features(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), batch.column(1)], names=["a", "b", "toxic"])
 
-    rows = sample.mapInArrow(run, "a double, b double, toxic int").toPandas()
+    rows = sample.mapInArrow(tidy(run), "a double, b double, toxic int").toPandas()
     return lexicon, fit_logistic(rows[["a", "b"]].to_numpy(), rows["toxic"].to_numpy())
 
 
@@ -177,5 +177,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], names=["doc_id", "held_out", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "text").mapInArrow(
-        run, "doc_id long, held_out boolean, score double"
+        tidy(run), "doc_id long, held_out boolean, score double"
     )
