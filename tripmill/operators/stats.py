@@ -46,7 +46,7 @@ def unit_ratio(df: DataFrame, key: str, num: Sequence[str], den: Sequence[str])
 def smoothed_crosstab(df: DataFrame, kind: str, hour: str, add: float = 0.5) -> DataFrame:
     """Hour-of-day shares of each kind, `add` added to all 24 cells."""
     kinds = df.select(kind).where(F.col(kind).isNotNull()).distinct()
-    cells = kinds.select(kind, F.explode(F.sequence(F.lit(0), F.lit(23))).cast("long").alias(hour))
+    cells = kinds.select(kind, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias(hour))
     n = df.groupBy(kind, F.col(hour).cast("long").alias(hour)).agg(F.count("*").alias("n"))
     filled = cells.join(n, [kind, hour], "left").withColumn("n", F.coalesce("n", F.lit(0)) + add)
     return filled.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(kind))).select(kind, hour, "share")
@@ -84,11 +84,11 @@ def cluster_shares(df: DataFrame, y: str, w: str, cluster: str, by: str) -> Data
 def stratified_share(df: DataFrame, y: str, w: str, stratum: str, psu: str) -> DataFrame:
     """(share, se): strata with a single primary unit add nothing."""
     per = df.groupBy(stratum, psu).agg(F.sum(w).alias("_w"), F.sum(F.col(w) * F.col(y)).alias("_wy"))
-    total = per.agg(F.sum("_w").alias("_W"), F.sum("_wy").alias("_Y"))
-    z = per.crossJoin(F.broadcast(total)).withColumn("_z", (F.col("_wy") - F.col("_Y") / F.col("_W") * F.col("_w")) / F.col("_W"))
+    total = per.agg(F.sum("_w").alias("_tw"), F.sum("_wy").alias("_ty"))
+    z = per.crossJoin(F.broadcast(total)).withColumn("_z", (F.col("_wy") - F.col("_ty") / F.col("_tw") * F.col("_w")) / F.col("_tw"))
     each = z.groupBy(stratum).agg(F.count("*").alias("_n"), F.var_samp("_z").alias("_v"))
     v = each.agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n") * F.col("_v"))), F.lit(0.0)).alias("_var"))
-    return total.crossJoin(v).select((F.col("_Y") / F.col("_W")).alias("share"), F.sqrt("_var").alias("se"))
+    return total.crossJoin(v).select((F.col("_ty") / F.col("_tw")).alias("share"), F.sqrt("_var").alias("se"))
 
 
 def trips_per_person(persons: DataFrame, trips: DataFrame, keys: Sequence[str]) -> DataFrame:
