@@ -140,12 +140,16 @@ def training_windows(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray
     """Languages, one window of each sampled document, and its language's place."""
     small_batches(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id"), 5) != 0)
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().limit(MAX_LANGS + 1).collect())
+    counts = known.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    langs, n = sorted(r["lang"] for r in counts), sum(r["count"] for r in counts)
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     draw = F.pmod(F.xxhash64(F.lit("window"), "doc_id"), F.greatest(F.length("text") - WINDOW, F.lit(1)))
     picked = known.select("doc_id", "lang", F.substring("text", draw.cast("int") + 1, F.lit(WINDOW)).alias("part")).where(F.col("part").rlike(r"\p{L}"))
-    rows = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "part").limit(FIT_ROWS).select("lang", "part").collect()
+    # About twice the rows that are needed are left before the sort, however large docs is.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(10**9))
+    picked = picked.where(place < int(2e9 * FIT_ROWS / max(n, 1)))
+    rows = picked.orderBy(place, "doc_id", "part").limit(FIT_ROWS).select("lang", "part").collect()
     x = np.stack([windows(r["part"], STRIDE)[0] for r in rows]) if rows else np.empty((0, WINDOW), np.uint8)
     return langs, x, np.array([langs.index(r["lang"]) for r in rows], np.int64)
 
