@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows of one Arrow batch handed to Python; documents may be very long.
 BATCH_ROWS = 512
 
@@ -21,8 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the text held by a Python worker at once (a session setting)."""
+    """Bound the text held by a Python worker at once (a session setting), and let the
+    workers find this package where the driver found it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    known = spark.sparkContext.environment
+    if ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), ROOT]))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
