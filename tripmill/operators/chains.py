@@ -157,3 +157,81 @@ def build_trips(df: DataFrame, keys: Sequence[str], purposes: dict[str, str], ho
     demoted = F.coalesce(*[F.when((F.col("_p") == a) & (F.col("_nth") > 1), b) for a, b in (repeats or {}).items()], F.col("_p"))
     hhmm = (F.floor(F.col("start") / 60) * 100 + F.col("start") % 60).cast("long")
     return out.withColumn("purpose", demoted).withColumn("start_time", hhmm).drop("_p", "_nth")
+
+
+def recode_returns(df: DataFrame, back: str, motives: dict[int, str], other: str, motive: str = "motive", dest: str = "dest", home: str = "home") -> DataFrame:
+    """A return that ends elsewhere takes the motive of its place type, else other."""
+    table = F.create_map(*[F.lit(x) for kv in motives.items() for x in kv])
+    away = F.col(motive).eqNullSafe(F.lit(back)) & (F.col(dest) != F.col(home))
+    return df.withColumn(motive, F.when(away, F.coalesce(table[F.col(dest)], F.lit(other))).otherwise(F.col(motive)))
+
+
+def returns_copying_origin(df: DataFrame, back: str, motive: str = "motive", origin: str = "origin", dest: str = "dest", home: str = "home") -> DataFrame:
+    """A return whose destination repeats its origin, away from home, ends at home."""
+    copied = F.col(motive).eqNullSafe(F.lit(back)) & (F.col(dest) == F.col(origin)) & (F.col(origin) != F.col(home))
+    return df.withColumn(dest, F.when(copied, F.col(home)).otherwise(F.col(dest)))
+
+
+def returns_elsewhere(df: DataFrame, person: str, back: str, motive: str = "motive", dest: str = "dest", home: str = "home") -> DataFrame:
+    """A return that ends elsewhere takes the person's most common activity at that place
+    (ties to the first by value); it stays where there is none."""
+    own = df.where(~F.col(motive).eqNullSafe(F.lit(back)) & F.col(motive).isNotNull()).groupBy(person, dest, motive).agg(F.count("*").alias("_n"))
+    first = own.groupBy(person, dest).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(motive).alias("m"))).alias("_b"))
+    away = F.col(motive).eqNullSafe(F.lit(back)) & (F.col(dest) != F.col(home))
+    out = df.join(first.select(person, dest, F.col("_b.m").alias("_usual")), [person, dest], "left")
+    return out.withColumn(motive, F.when(away, F.coalesce("_usual", F.col(motive))).otherwise(F.col(motive))).drop("_usual")
+
+
+def rotated_first_trips(df: DataFrame, keys: Sequence[str], origin: str = "origin", dest: str = "dest", home: str = "home") -> DataFrame:
+    """A first trip from a place to home that is followed by a trip from home is turned
+    to home -> place, and the next trip starts at that place; `rotated` marks the turn."""
+    w = over(keys)
+    turn = F.lag(dest).over(w).isNull() & (F.col(origin) != F.col(home)) & (F.col(dest) == F.col(home)) & (F.lead(origin).over(w) == F.col(home))
+    out = df.withColumn("_first", F.row_number().over(w) == 1).withColumn("rotated", F.coalesce(turn & F.col("_first"), F.lit(False)))
+    out = out.withColumn("_place", F.when(F.lag("rotated").over(w), F.lag(origin).over(w)))
+    new_origin = F.when(F.col("rotated"), F.col(home)).otherwise(F.coalesce("_place", F.col(origin)))
+    new_dest = F.when(F.col("rotated"), F.col(origin)).otherwise(F.col(dest))
+    return out.withColumns({origin: new_origin, dest: new_dest}).drop("_first", "_place")
+
+
+def cap_rides_home(df: DataFrame, keys: Sequence[str], back: str, tolerance: int = 15, motive: str = "motive", dest: str = "dest", home: str = "home", start: str = "start", minutes: str = "minutes") -> DataFrame:
+    """A return home that arrives over tolerance minutes after the next start lasts up to
+    that start, if this leaves half of its minutes at least."""
+    gap = F.lead(start).over(over(keys)) - F.col(start)
+    late = F.col(motive).eqNullSafe(F.lit(back)) & (F.col(dest) == F.col(home)) & (F.col(minutes) - gap > tolerance) & (gap >= 0.5 * F.col(minutes))
+    return df.withColumn(minutes, F.when(F.coalesce(late, F.lit(False)), gap).otherwise(F.col(minutes)))
+
+
+def trip_features(df: DataFrame, keys: Sequence[str], mandatory: Sequence[str], start: str = "start", minutes: str = "minutes", motive: str = "motive", dest: str = "dest") -> DataFrame:
+    """Neighbouring starts, previous arrival, own earlier motive at the destination,
+    whether a mandatory trip came before, first flag, log1p of the minutes."""
+    w = over(keys)
+    there = over([*keys, dest]).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.sum(F.col(motive).isin(*mandatory).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumns(
+        {
+            "prev_start": F.lag(start).over(w), "next_start": F.lead(start).over(w), "prev_arrival": F.lag(F.col(start) + F.col(minutes)).over(w),
+            "same_place_motive": F.last(motive, ignorenulls=True).over(there), "after_mandatory": F.coalesce(earlier, F.lit(0)) > 0,
+            "is_first": F.row_number().over(w) == 1, "log_minutes": F.log1p(F.col(minutes).cast("double")),
+        }
+    )
+
+
+def donor_mask(features: DataFrame, slack: int = 15, start: str = "start", minutes: str = "minutes") -> DataFrame:
+    """donor: timed, with a timed successor after its arrival, and no earlier than slack
+    minutes before the previous arrival. Takes what trip_features returns."""
+    stays = F.col("next_start") - F.col(start) - F.col(minutes) >= 0
+    after = F.col("prev_arrival").isNull() | (F.col(start) >= F.col("prev_arrival") - slack)
+    return features.withColumn("donor", F.coalesce(F.col(start).isNotNull() & stays & after, F.lit(False)))
+
+
+def spread_minutes(legs: DataFrame, keys: Sequence[str], leg: str, minutes: str, total: str) -> DataFrame:
+    """Legs whose minutes add up to total (whole numbers, one at least each), shared by
+    their own minutes with the largest remainders first; a null total changes nothing."""
+    trip = Window.partitionBy(*keys)
+    n, own = F.count("*").over(trip), F.sum(minutes).over(trip)
+    out = legs.withColumn("_x", (F.col(total) - n) * F.when(own > 0, F.col(minutes) / own).otherwise(1 / n))
+    out = out.withColumn("_f", F.floor(F.round("_x", 9))).withColumn("_r", F.round(F.col("_x") - F.col("_f"), 9))
+    left = F.col(total) - n - F.sum("_f").over(trip)
+    more = (F.row_number().over(trip.orderBy(F.desc("_r"), leg)) <= left).cast("long")
+    return out.withColumn(minutes, F.when(F.col(total).isNotNull(), 1 + F.col("_f") + more).otherwise(F.col(minutes)).cast("long")).drop("_x", "_f", "_r")
