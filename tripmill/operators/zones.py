@@ -134,3 +134,79 @@ def member_count(reported: DataFrame, members: DataFrame, hh: str, draws: int, v
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each group in the given order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def _segment_distance(x: Column, y: Column, ring: Column) -> Column:
+    """Least distance of (x, y) to the edges of a ring."""
+
+    def one(i: Column) -> Column:
+        a, b = ring[i], ring[(i + 1) % F.size(ring)]
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        k = ((x - a["x"]) * dx + (y - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+        k = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(k, F.lit(0.0))))
+        return F.hypot(x - a["x"] - k * dx, y - a["y"] - k * dy)
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.size(ring) - 1), one))
+
+
+def nearest_polygon(points: DataFrame, polygons: DataFrame, key: str, x: str = "x", y: str = "y", reach: float = 0.5) -> DataFrame:
+    """(key, zone, distance): the polygon nearest to each point (0 inside), ties to the
+    smallest zone; points without coordinates are left out.
+
+    Polygons are listed under the grid cells within `reach` of their bounds and joined on
+    equal cells. What is found within reach is final; the rest goes on with four times the
+    reach, until it spans all points and polygons: a few passes, whatever the number.
+    """
+    edge = lambda f, axis: f(F.transform("ring", lambda p: p[axis]))
+    boxes = polygons.withColumns({"_x0": edge(F.array_min, "x"), "_x1": edge(F.array_max, "x"), "_y0": edge(F.array_min, "y"), "_y1": edge(F.array_max, "y")})
+    left = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    a = boxes.agg(F.min("_x0"), F.max("_x1"), F.min("_y0"), F.max("_y1")).first()
+    b = left.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
+    empty = a[0] is None or b[0] is None
+    span = 0.0 if empty else max(a[1], b[1]) - min(a[0], b[0]) + max(a[3], b[3]) - min(a[2], b[2])
+    out = None
+    while True:
+        cell = lambda c: F.floor(c / reach).cast("long")  # noqa: B023, E731
+        listed = boxes.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x0") - reach), cell(F.col("_x1") + reach))))
+        listed = listed.withColumn("_cy", F.explode(F.sequence(cell(F.col("_y0") - reach), cell(F.col("_y1") + reach)))).select("zone", "ring", "_cx", "_cy")
+        near = left.withColumns({"_cx": cell(F.col("_x")), "_cy": cell(F.col("_y"))}).join(listed, ["_cx", "_cy"])
+        far = F.when(_inside(F.col("_x"), F.col("_y"), F.col("ring")), 0.0).otherwise(F.round(_segment_distance(F.col("_x"), F.col("_y"), F.col("ring")), 9))
+        best = near.groupBy(key).agg(F.min(F.struct(far.alias("d"), "zone")).alias("b")).where(F.col("b.d") <= reach)
+        best = best.select(key, F.col("b.zone").alias("zone"), F.col("b.d").alias("distance"))
+        out = best if out is None else out.unionByName(best)
+        if reach >= span:
+            return out
+        left = left.join(best, key, "left_anti")
+        reach *= 4
+
+
+def nearest_until_enough(units: DataFrame, need: DataFrame, group: str, order: Sequence[str], size: str, wanted: str) -> DataFrame:
+    """The units of each group, in the given order, until their sizes reach what the group
+    needs (group, wanted); the nearest one at least."""
+    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = units.join(need, group).withColumns({"_before": F.coalesce(F.sum(size).over(w), F.lit(0)), "_n": F.count("*").over(w)})
+    return out.where((F.col("_before") < F.col(wanted)) | (F.col("_n") == 0)).drop("_before", "_n", wanted)
+
+
+def assign_units(units: DataFrame, unit: str, known: dict[str, DataFrame]) -> DataFrame:
+    """units with zone and rule: that of the first source, in order, with a zone for the
+    unit (unit, zone); null where none has. Units must be unique within a source."""
+    out, names = units, []
+    for name, table in known.items():
+        out = out.join(table.select(unit, F.col("zone").alias(f"_{name}")), unit, "left")
+        names.append(name)
+    rule = F.coalesce(*[F.when(F.col(f"_{n}").isNotNull(), n) for n in names])
+    return out.withColumns({"zone": F.coalesce(*[f"_{n}" for n in names]), "rule": rule}).drop(*[f"_{n}" for n in names])
+
+
+def fill_from_zone(df: DataFrame, zone: str, value: str, residents: str) -> DataFrame:
+    """A missing value becomes the zone's rate, of the rows that state it, times the row's
+    residents."""
+    stated = df.where(F.col(value).isNotNull()).groupBy(zone).agg((F.sum(value) / F.nullif(F.sum(residents), F.lit(0))).alias("_rate"))
+    return df.join(stated, zone, "left").withColumn(value, F.coalesce(F.col(value), F.col("_rate") * F.col(residents))).drop("_rate")
+
+
+def scale(whole: Column, part: Column, least: float, most: float) -> Column:
+    """whole / part within bounds; 1 where it is not known."""
+    ratio = whole / F.when(part != 0, part)
+    return F.when(ratio.isNull(), 1.0).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), ratio)))
