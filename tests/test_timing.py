@@ -4,6 +4,7 @@ import itertools
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tripmill.operators import timing
 
@@ -48,3 +49,17 @@ def test_chains_through_spark(spark):
     assert moved[2, 1] == 600 and moved[3, 1] is None and moved[1, 2] >= moved[1, 1] + 30
     none = df.limit(0)
     assert timing.repair_start_hours(none, ["person"], ["w"]).count() == 0
+
+
+def test_nearest_donors_over_many_batches(spark):
+    donors = spark.range(0, 500, 1, 3).select(F.col("id").alias("d"), (F.col("id") % 3).alias("c"), (F.col("id") * 7 % 50).alias("x"))
+    targets = spark.createDataFrame([(1, 0, 10), (2, None, None), (3, 2, 49)], "t long, c long, x long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = timing.nearest_donors(targets, donors, "t", "d", {"c": 5.0}, {"x": 1.0}, 7).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for t, c, x in [(1, 0, 10), (2, None, None), (3, 2, 49)]:
+        every = sorted((5.0 * (c != i % 3) + abs((x or 0) - i * 7 % 50), i) for i in range(500))
+        assert sorted((r.distance, r.d) for r in got if r.t == t) == every[:7]

@@ -23,8 +23,8 @@ def nearest_donors(targets: DataFrame, donors: DataFrame, key: str, donor: str,
     the absolute difference of those of `numeric`. A null numeric value counts as 0; a
     null category differs from every value.
 
-    Exact. Targets are the query set, broadcast in blocks of about BLOCK; each batch of
-    donors keeps its own best k of every target, and the best of these are taken by key.
+    Exact. Targets are the query set, broadcast in blocks of about BLOCK; each partition
+    of donors keeps its own best k of every target, and the best of these are taken by key.
     """
     spark = targets.sparkSession
     names = [*same, *numeric]
@@ -38,6 +38,7 @@ def nearest_donors(targets: DataFrame, donors: DataFrame, key: str, donor: str,
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             t = shared.value
+            kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for d in batches:
                 ids = d["_d"].to_numpy(np.int64)
                 order = np.argsort(ids, kind="stable")
@@ -52,8 +53,15 @@ def nearest_donors(targets: DataFrame, donors: DataFrame, key: str, donor: str,
                         a, x = (np.nan_to_num(s[c].to_numpy(float)) for s in (q, d))
                         far += weight * np.abs(a[:, None] - x[None, :])
                     best = np.argsort(far.round(9), axis=1, kind="stable")[:, :k]
-                    rows = np.repeat(np.arange(len(q)), best.shape[1])
-                    yield pd.DataFrame({key: q["_k"].to_numpy(np.int64)[rows], donor: ids[best.ravel()], "distance": far[rows, best.ravel()].round(9)})
+                    near, who = np.take_along_axis(far, best, 1).round(9), ids[best]
+                    if lo in kept:
+                        near, who = np.hstack([kept[lo][0], near]), np.hstack([kept[lo][1], who])
+                        best = np.lexsort((who, near), axis=1)[:, :k]
+                        near, who = np.take_along_axis(near, best, 1), np.take_along_axis(who, best, 1)
+                    kept[lo] = near, who
+            for lo, (near, who) in kept.items():
+                keys = t["_k"].to_numpy(np.int64)[lo : lo + 256]
+                yield pd.DataFrame({key: np.repeat(keys, near.shape[1]), donor: who.ravel(), "distance": near.ravel()})
 
         one = pool.mapInPandas(run, f"`{key}` long, `{donor}` long, distance double")
         found = one if found is None else found.unionByName(one)
