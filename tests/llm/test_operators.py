@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tripmill.llm import bpe, chat, decontaminate, language_id, ngram_lm, pii, quality, queries, simhash, toxicity, url_filter
+from tripmill.llm import bpe, chat, decontaminate, language_id, ngram_lm, overlap, pii, quality, queries, simhash, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, row string, spans string, kept string"
 WORDS = [f"w{k}x" for k in range(400)]
@@ -114,6 +114,34 @@ def test_hot_buckets_are_split_without_losing_links(spark):
     assert whole == split and len({min(r) for r in whole}) == 1
 
 
+def test_stage_links_all_similar_texts(spark):
+    rng = np.random.default_rng(1)
+
+    def edited(words, k):
+        return " ".join("new%d" % rng.integers(10**9) if i in set(rng.integers(0, len(words), k)) else w for i, w in enumerate(words))
+
+    bases = [long_text(50 + k, 200).split() for k in range(8)]
+    texts = [edited(b, k) for b in bases for k in (0, 2, 3, 4, 6, 9)] + [long_text(50, 200).upper(), "a b", "A  b", "c", "", None]
+    texts += [edited(bases[0], int(k)) for k in rng.integers(0, 12, 60)]  # a hot group
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    fps = [simhash.fingerprint(t) for t in texts]
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3 or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) > 0
+    comp = list(range(len(texts)))
+    for _ in texts:
+        comp = [min(comp[j] for j in range(len(texts)) if near(i, j)) for i in range(len(texts))]
+    want = {i for i, c in enumerate(comp) if i == c}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()} == want
+    assert want < {r.doc_id for r in simhash.one_of_each(df).collect()}
+    scanned = overlap.stage(overlap.scan(df))
+    for limit, chunk in ((10_000, 256), (1, 256), (4, 16)):  # pairs, groups in one block and in many
+        found = overlap.links(df, scanned, limit, chunk)
+        named = overlap._named(scanned.select("doc_id", "fp"), 3, 6, found).collect()
+        assert {r.doc_id: r.component_id for r in named} == dict(enumerate(comp))
+    assert corpus_pipeline.near_duplicate_stage(spark, df.limit(0), "").count() == 0
+
+
 def test_bpe_equals_the_library(spark, docs):
     import tiktoken
 

@@ -165,9 +165,14 @@ def links(fps: DataFrame, distance: int = 3, blocks: int = 6, limit: int = BUCKE
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
     """(doc_id, fp, component_id) for every document; component_id is the smallest
     doc_id reachable over links."""
-    fps = stage(fingerprints(docs, width))
+    return _named(stage(fingerprints(docs, width)), distance, blocks)
+
+
+def _named(fps: DataFrame, distance: int, blocks: int, more: DataFrame | None = None) -> DataFrame:
+    """near_duplicates of stored fingerprints, linked further by more (a, b)."""
     classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(classes.select("fp"), distance, blocks))
+    near = links(classes.select("fp"), distance, blocks)
+    roots = components(near if more is None else near.union(more))
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("low").alias("least"))
     label = linked.join(least, "root").select("fp", "least")
@@ -178,7 +183,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, blocks:
 def one_of_each(docs: DataFrame, width: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
     """The rows of docs whose doc_id names its component, one row for each such id (of
     rows that repeat an id, the one whose text hashes lowest), and rows without an id."""
-    named = near_duplicates(docs, width, distance, blocks).where("doc_id = component_id").select("doc_id").distinct()
+    return _firsts(docs, near_duplicates(docs, width, distance, blocks))
+
+
+def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    named = found.where("doc_id = component_id").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     stay = docs.join(named, "doc_id", "left_semi").withColumn("row number", F.row_number().over(first))
     return stay.where("`row number` = 1").drop("row number").unionByName(docs.where("doc_id IS NULL"))
