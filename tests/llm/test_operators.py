@@ -190,6 +190,22 @@ def test_pii_spans_and_bootstrap(spark):
     assert all(found[100 + k].startswith("id:31:") for k in range(3))
 
 
+def test_pii_contexts_are_cut_at_white_space(spark):
+    def found(seed, unseen):
+        rows = [(k, seed(k, f"u{k}@mail.org")) for k in range(60)] + [(100 + k, unseen(k, f"AB-{k}77")) for k in range(3)]
+        got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.F.col("spans.match").alias("m")).collect()
+        return [r.m for r in sorted(got, key=lambda r: r.doc_id) if r.doc_id >= 100]
+
+    want = [[f"AB-{k}77"] for k in range(3)]
+    line = lambda k, x: f"prev{chr(97 + k % 26)}{chr(97 + k // 26)}.\nid: {x}\nnext"
+    assert found(line, line) == want
+    row = lambda k, x: f"{chr(97 + k % 26)}{chr(97 + k // 26)}\tid\t{x}\tend"
+    assert found(row, row) == want
+    text = "my passport is 77"
+    df = spark.createDataFrame([(text,)], "text string").select(pii._contexts(pii.F.col("text"), pii.F.lit(15), pii.F.lit(17)).alias("c"))
+    assert df.first().c == ["LL passport is", "LR is _ "]
+
+
 def test_decontamination_finds_paraphrases(spark, benchmark):
     words = long_text(2).split()[20:50]
     words[7] = "changed"

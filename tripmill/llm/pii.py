@@ -109,7 +109,7 @@ def span_text(spans: Column) -> Column:
 
 def _contexts(text: Column, start: Column, end: Column) -> Column:
     """The two patterns of a span: two words before it; one before and one after."""
-    words = lambda part: F.split(F.trim(F.regexp_replace(F.lower(part), r"[\\s\"']+", " ")), " ")
+    words = lambda part: F.split(F.trim(F.regexp_replace(F.lower(part), r"[\s\"']+", " ")), " ")
     left = words(F.substring(text, F.greatest(start - 60, F.lit(0)) + 1, F.least(start, F.lit(60))))
     right = words(F.substring(text, end + 1, F.lit(40)))
     before = lambda k: F.coalesce(F.try_element_at(left, F.lit(-k)), F.lit(""))
