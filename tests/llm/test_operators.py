@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tripmill.llm import bpe, chat, decontaminate, language_id, ngram_lm, overlap, pii, quality, queries, simhash, toxicity, url_filter
@@ -155,6 +157,18 @@ def test_bpe_equals_the_library(spark, docs):
         assert bytes(r.decoded).decode() == (odd[r.doc_id] or "")
 
 
+def test_passes_that_differ_stop_the_job(spark):
+    path, pattern = queries.tokenizer()
+    rows = [(k, long_text(k, 30)) for k in range(40)]
+    unstable = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).orderBy(F.rand())  # each pass has its own order
+    clock = F.udf(lambda t: f"{t} {time.time_ns()}").asNondeterministic()
+    for plan in (unstable.withColumn("text", clock("text")), unstable.sortWithinPartitions(clock("text"))):
+        plan = plan.select("doc_id", clock("text").alias("text"))
+        for run in (lambda d: bpe.encode(d, path, pattern), ngram_lm.score):
+            with pytest.raises(Exception, match="two passes over docs differ"):
+                run(plan).collect()
+
+
 def test_lm_mass_and_base(spark):
     texts = [long_text(k % 7, 40) for k in range(40)]
     out = ngram_lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()

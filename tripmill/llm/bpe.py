@@ -9,9 +9,11 @@
    the bytes in order.
 
 Blocks hold a bounded number of words, and hot words come once from each block, so no
-key grows with the corpus. The words and the positions of a block are two passes over
-the same scan; docs must therefore be a plan that repeats its partitions (a table scan),
-and a block whose passes disagree stops the job.
+key grows with the corpus. A task that encodes holds the distinct words of one shard at a
+time; shards are four times spark.sql.shuffle.partitions, which is to be set by the size
+of the vocabulary. The words and the positions of a block are two passes over the same
+scan; docs must therefore be a plan that repeats its partitions (a table scan). Both
+passes digest each block's ids and words in order, and a difference stops the job.
 
 Defined cases: a null or empty text has no ids. Repeated rows are encoded row by row.
 Other columns are not read. An empty table gives no rows.
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import partitions, release, small_batches, tidy
 
 BLOCK_WORDS = 4_000_000
+UNLIKE = "two passes over docs differ; docs must be a repeatable scan, such as a table"
 _ODD = re.compile(r"^ | $| \s|\s ")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[tuple[str, str], object] = {}
@@ -70,26 +74,34 @@ def _split(text: str | None) -> list[str]:
     return words
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], hold: bool = True) -> Iterator[tuple[int, _Codes, list, list[int], list[np.ndarray]]]:
-    """(block, codes, doc ids, words of each, their codes) of at most BLOCK_WORDS words
-    and one text more."""
+def _blocks(batches: Iterator[pa.RecordBatch], hold: bool = True) -> Iterator[tuple[int, int, _Codes, list, list[int], list[np.ndarray]]]:
+    """(block, digest, codes, doc ids, words of each, their codes) of at most BLOCK_WORDS
+    words and one text more. The digest is that of all ids and words in order."""
     block, held = TaskContext.get().partitionId() << 24, 0
-    codes, ids, sizes, arrays = _Codes(), [], [], []
+    codes, ids, sizes, arrays, digest = _Codes(), [], [], [], xxhash.xxh3_64()
+
+    def done() -> tuple:
+        names = list(codes)
+        digest.update(np.fromiter(map(len, names), np.int64, len(names)).tobytes() + repr(ids).encode())
+        digest.update("".join(names).encode("utf-8", "surrogatepass"))
+        return block, digest.intdigest() >> 1, codes, ids, sizes, arrays
+
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = _split(text)
             array = np.fromiter(map(codes.__getitem__, words), np.uint32, len(words))
+            digest.update(len(words).to_bytes(8, "little") + array.tobytes())
             if hold:
                 sizes.append(len(words))
                 arrays.append(array)
             ids.append(doc)
             held += len(words)
             if held >= BLOCK_WORDS:
-                yield block, codes, ids, sizes, arrays
+                yield done()
                 block, held = block + 1, 0
-                codes, ids, sizes, arrays = _Codes(), [], [], []
+                codes, ids, sizes, arrays, digest = _Codes(), [], [], [], xxhash.xxh3_64()
     if ids:
-        yield block, codes, ids, sizes, arrays
+        yield done()
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -104,7 +116,7 @@ def _unpack(b: bytes) -> np.ndarray:
 
 def _words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, codes, *_ in _blocks(batches, hold=False):
+        for block, digest, codes, *_ in _blocks(batches, hold=False):
             deal: list[tuple[list[int], list[bytes]]] = [([], []) for _ in range(shards)]
             for word, code in codes.items():
                 raw = word[1:].encode() if word[0] == " " else b" " + word.encode()
@@ -116,27 +128,29 @@ def _words(shards: int):
                 [
                     pa.array([s for s, _, _ in rows], pa.int32()),
                     pa.array([block] * len(rows), pa.int64()),
+                    pa.array([digest] * len(rows), pa.int64()),
                     pa.array([_pack(np.diff(np.array(c), prepend=0)) for _, c, _ in rows], pa.binary()),
                     pa.array([_pack(np.array([len(x) for x in w])) for _, _, w in rows], pa.binary()),
                     pa.array([b"".join(w) for _, _, w in rows], pa.binary()),
                 ],
-                names=["shard", "block", "codes", "sizes", "words"],
+                names=["shard", "block", "digest", "codes", "sizes", "words"],
             )
 
     return run
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, codes, ids, sizes, arrays in _blocks(batches):
+    for block, digest, codes, ids, sizes, arrays in _blocks(batches):
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([block], pa.int64()),
+                pa.array([digest], pa.int64()),
                 pa.array([len(codes)], pa.int64()),
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([_pack(np.array(sizes))], pa.binary()),
                 pa.array([_pack(np.concatenate(arrays))], pa.binary()),
             ],
-            names=["block", "n_words", "ids", "sizes", "codes"],
+            names=["block", "digest", "n_words", "ids", "sizes", "codes"],
         )
 
 
@@ -161,10 +175,10 @@ def _encode_shards(path: str, pattern: str):
                         ids = known[word] = np.array(encode(word.decode()), "<u4")
                     found.append(ids)
                     lo = hi
-                out.append((row["block"], row["codes"], _pack(np.array([len(x) for x in found])), _pack(np.concatenate(found))))
+                out.append((row["block"], row["digest"], row["codes"], _pack(np.array([len(x) for x in found])), _pack(np.concatenate(found))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[k] for o in out], pa.int64() if k == 0 else pa.binary()) for k in range(4)],
-                names=["block", "codes", "counts", "ids"],
+                [pa.array([o[k] for o in out], pa.int64() if k < 2 else pa.binary()) for k in range(5)],
+                names=["block", "digest", "codes", "counts", "ids"],
             )
 
     return run
@@ -174,6 +188,8 @@ def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
     """The ids of every text of a block, as little-endian unsigned 32-bit numbers."""
     docs, out = [], []
     parts = pool = count = start = codes = None
+    if len(set(left["digest"].to_pylist()) | set(right["digest"].to_pylist())) > 1 or (len(right) and not len(left)):
+        raise RuntimeError(UNLIKE)
     for row in left.to_pylist():
         count = np.zeros(row["n_words"], np.int64)
         start = np.zeros(row["n_words"], np.int64)
@@ -185,7 +201,7 @@ def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
             parts.append(ids)
             at += len(ids)
         if (count == 0).any():
-            raise RuntimeError(f"block {row['block']}: words without ids; docs is not a repeatable scan")
+            raise RuntimeError(UNLIKE)
         pool = np.concatenate(parts) if parts else np.empty(0, "<u4")
         sizes, codes = _unpack(row["sizes"]).astype(np.int64), _unpack(row["codes"])
         word_ends = np.r_[0, np.cumsum(sizes)]
@@ -213,12 +229,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long"), "text")
     n = partitions(spark)
     words = (
-        source.mapInArrow(tidy(_words(4 * n)), "shard int, block long, codes binary, sizes binary, words binary")
+        source.mapInArrow(tidy(_words(4 * n)), "shard int, block long, digest long, codes binary, sizes binary, words binary")
         .repartition(n, "shard")
         .sortWithinPartitions("shard")
-        .mapInArrow(tidy(_encode_shards(path, pattern)), "block long, codes binary, counts binary, ids binary")
+        .mapInArrow(tidy(_encode_shards(path, pattern)), "block long, digest long, codes binary, counts binary, ids binary")
     )
-    blocks = source.mapInArrow(tidy(_positions), "block long, n_words long, ids array<long>, sizes binary, codes binary")
+    blocks = source.mapInArrow(tidy(_positions), "block long, digest long, n_words long, ids array<long>, sizes binary, codes binary")
     return (
         blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids binary")
     )

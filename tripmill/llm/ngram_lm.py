@@ -9,8 +9,10 @@ A task numbers the distinct words and bigrams of a block of documents and sends
 distinct one once, as a 64-bit hash with the block's counts, to the shard of its hash;
 shards add the counts up and answer. Answers meet the block's positions again, which
 are then staged, so that scores need no second shuffle. Frequent n-grams are sent once
-from a block, so no key is hot; blocks and shards bound what a task holds. docs must be
-a plan that repeats its partitions (a table scan).
+from a block, so no key is hot. A task holds one block, or the distinct n-grams of one
+shard; shards are four times spark.sql.shuffle.partitions, which is to grow with the
+corpus. docs must be a plan that repeats its partitions (a table scan): both passes
+digest each block's ids and tokens in order, and a difference stops the job.
 
 Two of n distinct n-grams share a hash with probability below n^2 / 2^65.
 
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _Codes, _pack, _unpack
+from .bpe import UNLIKE, _Codes, _pack, _unpack
 from .common import fold, partitions, small_batches, stage, tidy
 
 BLOCK_TOKENS = 3_000_000
@@ -45,7 +47,8 @@ def _words_of(text: str | None) -> list[bytes]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(block, codes, ids, roles, tokens of each text with its end, flat codes)."""
+    """(block, digest, codes, ids, roles, tokens of each text with its end, flat codes); the
+    digest is that of all ids and tokens in order."""
     block, held = TaskContext.get().partitionId() << 24, 0
 
     def fresh():
@@ -54,6 +57,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             codes[word]
         return codes, [], [], [], []
 
+    def done() -> tuple:
+        flat = np.concatenate(arrays)
+        digest = xxhash.xxh3_64(flat.tobytes())
+        digest.update(np.array(sizes).tobytes() + repr(ids).encode())
+        digest.update(b" ".join(codes))
+        return block, digest.intdigest() >> 1, codes, ids, roles, sizes, flat
+
     codes, ids, roles, sizes, arrays = fresh()
     for batch in batches:
         for doc, role, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -66,11 +76,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             arrays.append(a)
             held += len(a)
             if held >= BLOCK_TOKENS:
-                yield block, codes, ids, roles, sizes, np.concatenate(arrays)
+                yield done()
                 block, held = block + 1, 0
                 codes, ids, roles, sizes, arrays = fresh()
     if ids:
-        yield block, codes, ids, roles, sizes, np.concatenate(arrays)
+        yield done()
 
 
 def _pairs(flat: np.ndarray, sizes: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +118,7 @@ def _counts_by_role(at: np.ndarray, roles: np.ndarray, n: int) -> tuple[np.ndarr
 
 def _requests(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, codes, _, roles, sizes, flat in _blocks(batches):
+        for block, digest, codes, _, roles, sizes, flat in _blocks(batches):
             h, sizes, roles = _hashes(codes), np.array(sizes), np.array(roles)
             low, role = (h & np.uint64(0xFFFF)).astype(np.uint32), np.repeat(roles, sizes)
             rest, deleted = _counts_by_role(flat, role, len(h))
@@ -124,11 +134,12 @@ def _requests(shards: int):
                     [
                         pa.array([2 * s + kind for s, _ in rows], pa.int32()),
                         pa.array([block] * len(rows), pa.int64()),
+                        pa.array([digest] * len(rows), pa.int64()),
                         pa.array([key[o].tobytes() for _, o in rows], pa.binary()),
                         pa.array([_pack(rest[o]) for _, o in rows], pa.binary()),
                         pa.array([_pack(deleted[o]) for _, o in rows], pa.binary()),
                     ],
-                    names=["shard", "block", "keys", "rest", "deleted"],
+                    names=["shard", "block", "digest", "keys", "rest", "deleted"],
                 )
 
     return run
@@ -153,12 +164,13 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([r["block"] for r in held], pa.int64()),
+                pa.array([r["digest"] for r in held], pa.int64()),
                 pa.array([r["shard"] for r in held], pa.int32()),
                 pa.array([_pack(rest[p]) for p in parts], pa.binary()),
                 pa.array([_pack(deleted[p]) for p in parts], pa.binary()),
                 pa.array([known] + [0] * (len(held) - 1), pa.int64()),
             ],
-            names=["block", "shard", "rest", "deleted", "known"],
+            names=["block", "digest", "shard", "rest", "deleted", "known"],
         )
 
     for batch in batches:
@@ -172,18 +184,19 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, codes, ids, roles, sizes, flat in _blocks(batches):
+    for block, digest, codes, ids, roles, sizes, flat in _blocks(batches):
         low = (_hashes(codes) & np.uint64(0xFFFF)).astype(np.uint16)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([block], pa.int64()),
+                pa.array([digest], pa.int64()),
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([roles], pa.list_(pa.int64())),
                 pa.array([_pack(np.array(sizes))], pa.binary()),
                 pa.array([_pack(flat)], pa.binary()),
                 pa.array([low.tobytes()], pa.binary()),
             ],
-            names=["block", "ids", "roles", "sizes", "codes", "low"],
+            names=["block", "digest", "ids", "roles", "sizes", "codes", "low"],
         )
 
 
@@ -208,6 +221,8 @@ def _cells(context: np.ndarray, word: np.ndarray, pair: np.ndarray, n: np.ndarra
 def _meet(shards: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = {r["shard"]: r for r in right.to_pylist()}
+        if len(set(left["digest"].to_pylist()) | {r["digest"] for r in answers.values()}) > 1 or len(left) != 1:
+            raise RuntimeError(UNLIKE)
         out = []
         for row in left.to_pylist():
             low = np.frombuffer(row["low"], np.uint16)
@@ -287,13 +302,13 @@ def score(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     shards = min(4 * n, 65521)
     answers = (
-        source.mapInArrow(tidy(_requests(shards)), "shard int, block long, keys binary, rest binary, deleted binary")
+        source.mapInArrow(tidy(_requests(shards)), "shard int, block long, digest long, keys binary, rest binary, deleted binary")
         .repartition(n, "shard")
         .sortWithinPartitions("shard")
-        .mapInArrow(tidy(_answers), "block long, shard int, rest binary, deleted binary, known long")
+        .mapInArrow(tidy(_answers), "block long, digest long, shard int, rest binary, deleted binary, known long")
     )
     places = source.mapInArrow(
-        tidy(_positions), "block long, ids array<long>, roles array<long>, sizes binary, codes binary, low binary"
+        tidy(_positions), "block long, digest long, ids array<long>, roles array<long>, sizes binary, codes binary, low binary"
     )
     met = stage(
         places.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
