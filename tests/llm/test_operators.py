@@ -233,6 +233,39 @@ def test_decontamination_finds_paraphrases(spark, benchmark):
     assert [r.doc_id for r in decontaminate.find_leaks(df, benchmark).collect()] == [1]
 
 
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            row[j], before = (before + 1 if x == y else max(row[j], row[j - 1])), row[j]
+    return row[-1]
+
+
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    passages = [long_text(200 + k).split()[: 15 + 2 * k] for k in range(20)]
+    items = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(passages)], "item_id long, text string")
+    texts = []
+    for k in range(120):
+        p = list(passages[k % 20])
+        for i in rng.choice(len(p), int(len(p) * rng.uniform(0, 0.2)), replace=False):
+            p[i] = f"other{rng.integers(10**6)}"
+        filler = [f"v{x}" for x in rng.integers(0, 5000, 200)]
+        cut = int(rng.integers(0, 150))
+        texts.append(" ".join(filler[:cut] + (p if k % 3 else []) + filler[cut:]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(d, i) for d, t in enumerate(texts) for i, p in enumerate(passages) if plain_lcs(p, t.split()) >= 0.75 * len(p)}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, items).collect()}
+    assert want and got >= want and {d for d, _ in got} == {d for d, _ in want}
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)  # several blocks
+    monkeypatch.setattr(decontaminate, "FIT_PASSAGES", 4)  # most words outside the fit
+    again = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, items).collect()}
+    assert len(again & want) >= 0.9 * len(want) and {d for d, _ in again} <= {d for d, _ in want}
+    left = {r.doc_id for r in decontaminate.without_leaks(df, items).collect()}
+    assert left == set(range(120)) - {d for d, _ in again}
+
+
 def test_toxic_words_are_folded():
     assert toxicity.fold_text("1D10T сlоwn $tupid 12 a$$") == ["idiot", "clown", "stupid", "12", "a"]
     lexicon = toxicity.Lexicon({" idiot ": 3.0, " clow": 2.0}, frozenset({"clowns fish"}))
