@@ -118,36 +118,54 @@ def duplicate_returns(spark, folder):
     return chains.duplicate_returns(d, DAY, BACK).select("event_id", "motive", "start")
 
 
+#: Some evening starts are recorded as the small hours.
+NIGHTS = """, e AS (SELECT * REPLACE (CASE WHEN event_id % 5 = 0 AND start >= 1080 THEN start - 1080 ELSE start END AS start) FROM diary)"""
+
+
+def wraps_sql(table: str) -> str:
+    """CTEs that end in q: table plus wraps."""
+    return f""", p AS (SELECT *, lag(start) OVER w AS prev, lag(motive) OVER w AS pm, coalesce(max((motive = 'purchase')::INT) OVER (PARTITION BY person, day ORDER BY trip ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later
+  FROM {table} WINDOW w AS (PARTITION BY person, day ORDER BY trip)),
+n AS (SELECT *, coalesce(((start <= 360 AND (prev >= 1080 OR (prev >= 720 AND motive = 'signup'))) OR (motive = 'signup' AND pm = 'purchase' AND prev >= 1080 AND start < 600)) AND later = 0, false) AS night FROM p),
+k AS (SELECT *, start + 1440 * sum(night::INT) OVER (PARTITION BY person, day ORDER BY trip) AS clock FROM n),
+q AS (SELECT *, night AND max(clock) OVER x - first(clock) OVER x < 1440 AS wraps FROM k
+  WINDOW x AS (PARTITION BY person, day ORDER BY trip ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+def slide_sql(table: str) -> str:
+    """A recursive CTE walk over table (rn: place in the chain, wraps): start moved to the arrival."""
+    test = "d.start < w.moved_end AND w.recorded_end - d.start <= w.reach AND NOT d.wraps"
+    return f""", walk AS (
+  SELECT person, day, trip, rn, start, start AS moved_start, start + minutes AS moved_end, start + minutes AS recorded_end, CASE WHEN motive = 'purchase' THEN 15 ELSE 60 END AS reach FROM {table} WHERE rn = 1
+  UNION ALL
+  SELECT d.person, d.day, d.trip, d.rn, d.start, CASE WHEN {test} THEN w.moved_end ELSE d.start END,
+    CASE WHEN {test} THEN w.moved_end ELSE d.start END + d.minutes, d.start + d.minutes, CASE WHEN d.motive = 'purchase' THEN 15 ELSE 60 END
+  FROM walk w JOIN {table} d ON d.person = w.person AND d.day = w.day AND d.rn = w.rn + 1)"""
+
+
+def _nights(spark, folder):
+    late = (F.col("event_id") % 5 == 0) & (F.col("start") >= 1080)
+    return diary(spark, folder).withColumn("start", F.when(late, F.col("start") - 1080).otherwise(F.col("start")))
+
+
 @query(
-    """, e AS (SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN greatest(start - 120, 0) ELSE start END AS start) FROM diary),
-p AS (SELECT *, lag(start) OVER w AS prev, max((motive = 'purchase')::INT) OVER (PARTITION BY person, day ORDER BY trip ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
-  FROM e WINDOW w AS (PARTITION BY person, day ORDER BY trip)),
-q AS (SELECT *, coalesce(start < prev AND prev >= 720 AND after = 0, false) AS wraps FROM p)
-SELECT event_id, wraps, CAST(sum(wraps::INT) OVER (PARTITION BY person, day ORDER BY trip) AS BIGINT) AS days FROM q""",
+    NIGHTS + wraps_sql("e") + "SELECT event_id, wraps, CAST(sum(wraps::INT) OVER (PARTITION BY person, day ORDER BY trip) AS BIGINT) AS days FROM q",
     diary=True,
 )
 def day_wraps(spark, folder):
-    d = diary(spark, folder).withColumn("start", F.when(F.col("event_id") % 5 == 0, F.greatest(F.col("start") - 120, F.lit(0))).otherwise(F.col("start")))
-    return chains.day_wraps(d, DAY, ["purchase"]).select("event_id", "wraps", "days")
+    return chains.day_wraps(_nights(spark, folder), DAY, ["purchase"], BACK, ["purchase"]).select("event_id", "wraps", "days")
 
 
 @query()
 def slide_to_arrival(spark, folder):
-    return chains.slide_to_arrival(diary(spark, folder), DAY).select("person", "day", "trip", "start", "moved_start")
+    d = chains.day_wraps(_nights(spark, folder), DAY, ["purchase"], BACK, ["purchase"])
+    return chains.slide_to_arrival(d, DAY, ["purchase"]).select("person", "day", "trip", "start", "moved_start")
 
 
 ORACLE_SQL["slide_to_arrival"] = (
-    "WITH RECURSIVE "
-    + DIARY
-    + """, walk AS (
-  SELECT person, day, trip, start, start AS moved_start, start + minutes AS moved_end, start + minutes AS recorded_end FROM diary WHERE trip = 1
-  UNION ALL
-  SELECT d.person, d.day, d.trip, d.start,
-    CASE WHEN d.start < w.moved_end AND w.recorded_end - d.start <= 15 THEN w.moved_end ELSE d.start END,
-    CASE WHEN d.start < w.moved_end AND w.recorded_end - d.start <= 15 THEN w.moved_end ELSE d.start END + d.minutes, d.start + d.minutes
-  FROM walk w JOIN diary d ON d.person = w.person AND d.day = w.day AND d.trip = w.trip + 1)
-SELECT person, day, trip, start, moved_start FROM walk"""
-)
+    "WITH RECURSIVE " + DIARY + NIGHTS + wraps_sql("e") + ", g AS (SELECT *, trip AS rn FROM q)" + slide_sql("g")
+    + "SELECT person, day, trip, start, moved_start FROM walk"
+)
 
 
 @query(

@@ -60,25 +60,32 @@ def duplicate_returns(df: DataFrame, keys: Sequence[str], back: str, motive: str
     return out.withColumns(fixed).where(~F.col("_drop")).drop("_hit", "_drop", "_m", "_s")
 
 
-def slide_to_arrival(df: DataFrame, keys: Sequence[str], tolerance: int = 15, start: str = "start", minutes: str = "minutes") -> DataFrame:
+def slide_to_arrival(
+    df: DataFrame, keys: Sequence[str], mandatory: Sequence[str] = (), tolerance: int = 15, limit: int = 60, start: str = "start",
+    minutes: str = "minutes", motive: str = "motive", wraps: str = "wraps",
+) -> DataFrame:
     """(keys, trip, start, moved_start): a start before the running arrival moves to it if
-    the shortfall that was recorded is within tolerance; moved starts propagate. A fold
-    over the ordered trips: the test reads the recorded start before, the move the moved
-    one."""
-    trips = F.array_sort(F.collect_list(F.struct("trip", F.col(start).alias("s"), F.col(minutes).alias("m"))))
+    the shortfall that was recorded is within tolerance, or within limit where the trip
+    before is not mandatory; moved starts propagate, a trip that passes midnight (column
+    wraps, where there is one) stays. A fold over the ordered trips: the test reads the
+    recorded start before, the move the moved one."""
+    night = F.coalesce(F.col(wraps), F.lit(False)) if wraps in df.columns else F.lit(False)
+    reach = F.when(F.col(motive).isin(*mandatory), tolerance).otherwise(limit)
+    trips = F.array_sort(F.collect_list(F.struct("trip", F.col(start).alias("s"), F.col(minutes).alias("m"), night.alias("w"), reach.alias("r"))))
     empty = F.struct(
-        F.lit(None).cast("long").alias("moved_end"), F.lit(None).cast("long").alias("recorded_end"),
+        F.lit(None).cast("long").alias("moved_end"), F.lit(None).cast("long").alias("recorded_end"), F.lit(None).cast("int").alias("reach"),
         F.array().cast("array<struct<trip:bigint,s:bigint,moved:bigint>>").alias("out"),
     )
 
     def step(state: Column, t: Column) -> Column:
         short = state["recorded_end"] - t["s"]
-        move = (t["s"] < state["moved_end"]) & (short <= tolerance)
+        move = (t["s"] < state["moved_end"]) & (short <= state["reach"]) & ~t["w"]
         moved = F.when(F.coalesce(move, F.lit(False)), state["moved_end"]).otherwise(t["s"])
         row = F.struct(t["trip"].alias("trip"), t["s"].alias("s"), moved.alias("moved"))
         return F.struct(
             F.coalesce(moved + t["m"], state["moved_end"]).alias("moved_end"),
             F.coalesce(t["s"] + t["m"], state["recorded_end"]).alias("recorded_end"),
+            t["r"].alias("reach"),
             F.concat(state["out"], F.array(row)).alias("out"),
         )
 
@@ -119,14 +126,24 @@ def stay_screens(df: DataFrame, keys: Sequence[str], short: int = 5, start: str
     )
 
 
-def day_wraps(df: DataFrame, keys: Sequence[str], mandatory: Sequence[str], start: str = "start", motive: str = "motive") -> DataFrame:
-    """`wraps`: a start earlier than the one before, after noon, with no mandatory trip
-    from there on; `days` counts the wraps so far."""
+def day_wraps(
+    df: DataFrame, keys: Sequence[str], mandatory: Sequence[str], back: str | None = None, work: Sequence[str] = (), start: str = "start", motive: str = "motive"
+) -> DataFrame:
+    """`wraps`: a start that is the next calendar day's, and `days`, how many so far. It is
+    by 06:00 after a start from 18:00 on, a return by 06:00 after one from noon on, or a
+    return before 10:00 from work begun at 18:00 or later; no mandatory trip may come after
+    it, and the day's last start must be less than 24 hours after its first."""
     w = over(keys)
-    prev = F.lag(start).over(w)
-    after = F.max(F.col(motive).isin(*mandatory).cast("int")).over(w.rowsBetween(0, Window.unboundedFollowing))
-    wraps = F.coalesce((F.col(start) < prev) & (prev >= 720) & (F.col("_after") == 0), F.lit(False))
-    out = df.withColumn("_after", after).withColumn("wraps", wraps).drop("_after")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    prev, is_return = F.lag(start).over(w), F.coalesce(F.col(motive) == F.lit(back), F.lit(False))
+    early = (F.col(start) <= 360) & ((prev >= 1080) | ((prev >= 720) & is_return))
+    shift = is_return & F.lag(motive).over(w).isin(*work) & (prev >= 1080) & (F.col(start) < 600)
+    later = F.max(F.col(motive).isin(*mandatory).cast("int")).over(w.rowsBetween(1, Window.unboundedFollowing))
+    night = F.coalesce(early | shift, F.lit(False)) & (F.coalesce(later, F.lit(0)) == 0)
+    out = df.withColumn("_night", night).withColumn("_days", F.sum(F.col("_night").cast("long")).over(w))
+    clock = F.col(start) + 1440 * F.col("_days")
+    span = F.max(clock).over(whole) - F.first(clock).over(whole)
+    out = out.withColumn("wraps", F.col("_night") & F.coalesce(span < 1440, F.lit(False))).drop("_night", "_days")
     return out.withColumn("days", F.sum(F.col("wraps").cast("long")).over(w))
 
 

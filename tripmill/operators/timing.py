@@ -9,12 +9,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chains import day_wraps, slide_to_arrival
+
 #: Targets that are broadcast at once.
 BLOCK = 5_000
 
 #: Hours added to a start, cost, first and last hour of the start it applies to.
 HOUR_EDITS = ((12, 1.0, 0, 11), (-12, 1.1, 17, 23), (-10, 1.2, 15, 19), (10, 1.5, 0, 9), (2, 2.0, 10, 19))
 MOST_COST = 6.0
+#: Fixed values, in minutes: tolerance of an overlap, the hour before which a return from work
+#: is the next morning's, an early first start and the long stay after it, a long errand.
+TOLERANCE, NIGHT_RETURN, EARLY_START, EARLY_STAY, LONG_ERRAND = 15, 600, 300, 480, 720
 
 
 def nearest_donors(targets: DataFrame, donors: DataFrame, key: str, donor: str, same: dict[str, float], numeric: dict[str, float], k: int = 30) -> DataFrame:
@@ -23,18 +28,28 @@ def nearest_donors(targets: DataFrame, donors: DataFrame, key: str, donor: str,
     the absolute difference of those of `numeric`. A null numeric value counts as 0; a
     null category differs from every value.
 
-    Exact. Targets are the query set, broadcast in blocks of about BLOCK; each partition
-    of donors keeps its own best k of every target, and the best of these are taken by key.
+    Exact. Rows of equal features are one cell: each target cell is searched for once,
+    and of a donor cell only the k smallest donors can be chosen. Target cells are the
+    query set, in blocks of about BLOCK; each partition of donors keeps its own best k of
+    every cell, and the best of these go back to the targets by their features.
     """
     spark = targets.sparkSession
     names = [*same, *numeric]
-    picked = targets.select(F.col(key).cast("long").alias("_k"), *names)
-    blocks = max(1, -(-picked.count() // BLOCK))
-    pool = donors.select(F.col(donor).cast("long").alias("_d"), *names)
+
+    def cells(df: DataFrame, own: str, name: str, none: int) -> DataFrame:
+        codes = [F.when(F.col(c).isNull(), none).otherwise(F.xxhash64(c)).alias(f"_{c}") for c in same]
+        numbers = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_{c}") for c in numeric]
+        return df.select(F.col(own).cast("long").alias(name), *codes, *numbers)
+
+    features = [f"_{c}" for c in names]
+    asked = cells(targets, key, "_t", -1)
+    first = Window.partitionBy(*features).orderBy("_d")
+    pool = cells(donors, donor, "_d", -2).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+    kinds = asked.select(*features).distinct()
+    blocks = max(1, -(-kinds.count() // BLOCK))
     found = None
     for b in range(blocks):
-        part = picked.where(F.pmod(F.xxhash64("_k"), F.lit(blocks)) == b).toPandas()
-        shared = spark.sparkContext.broadcast(part)
+        shared = spark.sparkContext.broadcast(kinds.where(F.pmod(F.xxhash64(*features), F.lit(blocks)) == b).toPandas())
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             t = shared.value
@@ -47,11 +62,9 @@ def nearest_donors(targets: DataFrame, donors: DataFrame, key: str, donor: str,
                     q = t.iloc[lo : lo + 256]
                     far = np.zeros((len(q), len(d)))
                     for c, weight in same.items():
-                        a, x = q[c].to_numpy(object)[:, None], d[c].to_numpy(object)[None, :]
-                        far += weight * ((a != x) | pd.isna(a) | pd.isna(x))
+                        far += weight * (q[f"_{c}"].to_numpy(np.int64)[:, None] != d[f"_{c}"].to_numpy(np.int64)[None, :])
                     for c, weight in numeric.items():
-                        a, x = (np.nan_to_num(s[c].to_numpy(float)) for s in (q, d))
-                        far += weight * np.abs(a[:, None] - x[None, :])
+                        far += weight * np.abs(q[f"_{c}"].to_numpy(float)[:, None] - d[f"_{c}"].to_numpy(float)[None, :])
                     best = np.argsort(far.round(9), axis=1, kind="stable")[:, :k]
                     near, who = np.take_along_axis(far, best, 1).round(9), ids[best]
                     if lo in kept:
@@ -60,13 +73,15 @@ def nearest_donors(targets: DataFrame, donors: DataFrame, key: str, donor: str,
                         near, who = np.take_along_axis(near, best, 1), np.take_along_axis(who, best, 1)
                     kept[lo] = near, who
             for lo, (near, who) in kept.items():
-                keys = t["_k"].to_numpy(np.int64)[lo : lo + 256]
-                yield pd.DataFrame({key: np.repeat(keys, near.shape[1]), donor: who.ravel(), "distance": near.ravel()})
+                out = t.iloc[lo : lo + 256].loc[lambda x: x.index.repeat(near.shape[1])]
+                yield out.assign(_who=who.ravel(), _far=near.ravel())
 
-        one = pool.mapInPandas(run, f"`{key}` long, `{donor}` long, distance double")
+        schema = ", ".join([*(f"`_{c}` long" for c in same), *(f"`_{c}` double" for c in numeric)])
+        one = pool.mapInPandas(run, f"{schema}, _who long, _far double")
         found = one if found is None else found.unionByName(one)
-    n = F.row_number().over(Window.partitionBy(key).orderBy("distance", donor))
-    return found.withColumn("_n", n).where(F.col("_n") <= k).drop("_n")
+    n = F.row_number().over(Window.partitionBy(*features).orderBy("_far", "_who"))
+    best = found.withColumn("_n", n).where(F.col("_n") <= k)
+    return asked.join(best, features).select(F.col("_t").alias(key), F.col("_who").alias(donor), F.col("_far").alias("distance"))
 
 
 def knn_impute(near: DataFrame, donors: DataFrame, key: str, donor: str, motive: str, start: str, duration: str) -> DataFrame:
@@ -104,44 +119,83 @@ def place_untimed(df: DataFrame, keys: Sequence[str], start: str = "start", minu
     return folded.select(*keys, F.inline(F.aggregate("_t", empty, step, lambda s: s["out"]))).withColumnRenamed("s", start)
 
 
-def hour_edits(starts: Sequence[float], minutes: Sequence[float], stays: Sequence[float]) -> list[int] | None:
-    """Hours to add to each start so that no trip leaves before the previous arrival plus
-    its least stay, at the least total cost; None if no or several choices have it.
+def hour_edits(
+    starts: Sequence[float], minutes: Sequence[float], stays: Sequence[float], tolerance: float = TOLERANCE, night: Sequence = (),
+    errand: Sequence = (), locked: Sequence = (), early: bool = False, menu: Sequence[tuple] = HOUR_EDITS,
+) -> list[int] | None:
+    """Hours to add to each start at the least total cost so that the day is feasible; None
+    if no or several choices have that cost.
+
+    Feasible: no trip leaves earlier than the previous arrival less tolerance, or it leaves
+    the next morning, between two unedited trips; next to an edit a mandatory activity
+    (one with a stay) lasts that stay; no mandatory trip follows a night and the day ends
+    within 24 hours of its first start; nobody is LONG_ERRAND or more at an errand; with
+    early, no first start before EARLY_START with EARLY_STAY or more behind it. Locked
+    trips keep their start.
 
-    A trip's choice bears only on its neighbours, so the cost of each choice follows from
-    the choices of the trip before: work grows with the length of the chain, which
-    therefore needs no bound.
+    A trip's choice bears only on its neighbours, the first start and whether a night has
+    passed, so the cost of each choice follows from the choices of the trip before: work
+    grows with the length of the chain, which therefore needs no bound.
     """
-    layers: list[list[tuple]] = []  # (cost, ways, start, hours, choice before)
-    for i, s in enumerate(starts):
-        options = [(0, 0.0)] + [(h, c) for h, c, lo, hi in HOUR_EDITS if lo <= int(s) // 60 <= hi]
-        layer = []
-        for h, c in options:
-            at = s + 60 * h
-            if not 0 <= at < 1440:
-                continue
-            if i == 0:
-                layer.append((c, 1, at, h, -1))
-                continue
-            fits = [(p[0], j) for j, p in enumerate(layers[-1]) if at >= p[2] + minutes[i - 1] + stays[i - 1]]
-            if fits:
-                low, j = min(fits)
-                ways = sum(layers[-1][q][1] for x, q in fits if x <= low + 1e-9)
-                if round(low + c, 6) <= MOST_COST:
-                    layer.append((round(low + c, 6), min(ways, 2), at, h, j))
-        if not layer:
-            return None
-        layers.append(layer)
-    if not layers:
+    if not len(starts):
         return []
-    low = min(x[0] for x in layers[-1])
-    if sum(x[1] for x in layers[-1] if x[0] <= low + 1e-9) != 1:
-        return None
-    j, out = min(range(len(layers[-1])), key=lambda q: layers[-1][q][0]), []
-    for layer in reversed(layers):
-        out.append(layer[j][3])
-        j = layer[j][4]
-    return out[::-1]
+    at_i = lambda flags, i: bool(len(flags) and flags[i])
+
+    def options(i: int) -> list[tuple[int, float]]:
+        h0 = int(starts[i]) // 60
+        moves = [] if at_i(locked, i) else [(h, c) for h, c, lo, hi in menu if lo <= h0 <= hi]
+        return [(h, c) for h, c in [(0, 0.0), *moves] if 0 <= starts[i] + 60 * h < 1440]
+
+    done: list[tuple[float, int, list[int]]] = []  # cost, ways, hours
+    for h0, c0 in options(0):
+        first = starts[0] + 60 * h0
+        layer = {(h0, False): (c0, 1, [h0])}
+        for i in range(1, len(starts)):
+            after: dict[tuple[int, bool], tuple[float, int, list[int]]] = {}
+            for (hp, passed), (cost, ways, hours) in layer.items():
+                before = starts[i - 1] + 60 * hp
+                arrival = before + minutes[i - 1]
+                for h, c in options(i):
+                    at, edited = starts[i] + 60 * h, bool(h or hp)
+                    over = not edited and before >= 1080 and (at <= 360 or (at_i(night, i) and at < NIGHT_RETURN))
+                    late = at + 1440 * over
+                    if (
+                        (at < arrival - tolerance and not over)
+                        or (edited and stays[i - 1] > 0 and at < arrival + stays[i - 1])
+                        or (passed and stays[i] > 0)
+                        or (at_i(errand, i - 1) and late - arrival >= LONG_ERRAND)
+                        or late + 1440 * passed - first >= 1440
+                        or (early and i == 1 and before < EARLY_START and at - arrival >= EARLY_STAY)
+                        or round(cost + c, 6) > MOST_COST
+                    ):
+                        continue
+                    state, new = (h, passed or over), (round(cost + c, 6), ways, [*hours, h])
+                    old = after.get(state)
+                    if old is None or new[0] < old[0]:
+                        after[state] = new
+                    elif new[0] == old[0]:
+                        after[state] = (old[0], 2, old[2])
+            layer = after
+        done += layer.values()
+    low = min((x[0] for x in done), default=None)
+    best = [x for x in done if x[0] == low]
+    return best[0][2] if sum(x[1] for x in best) == 1 else None
+
+
+def day_edits(starts, minutes, stays, night, errand, home_next, locked, activity) -> list[int] | None:
+    """hour_edits() of a day that needs them: an infeasible one, one that begins before
+    EARLY_START with a long stay, or, with the half-day edit back alone, one that stays
+    LONG_ERRAND or more at an errand before a return."""
+    flags = [bool(x) for x in night], [bool(x) for x in errand], [bool(x) for x in locked]
+    n, early = len(starts), bool(len(activity) and activity[0])
+    plain = hour_edits(starts, minutes, stays, TOLERANCE, flags[0], (), (), False, ())
+    early_stay = early and n > 1 and starts[0] < EARLY_START and starts[1] - starts[0] - minutes[0] >= EARLY_STAY
+    menu = HOUR_EDITS
+    if plain is not None and not early_stay:
+        if not any(errand[i] and home_next[i] and starts[i + 1] - starts[i] - minutes[i] >= LONG_ERRAND for i in range(n - 1)):
+            return None
+        menu = [e for e in HOUR_EDITS if e[0] == -12]
+    return hour_edits(starts, minutes, stays, TOLERANCE, *flags, early, menu)
 
 
 def least_movement(starts: Sequence[float], minutes: Sequence[float]) -> list[int]:
@@ -193,18 +247,49 @@ def _per_chain(df: DataFrame, keys: Sequence[str], fields: dict[str, Column], ba
     return rows.select(*keys, "_r.trip", F.col("_r.s").cast("long").alias("start"), F.get("_x", F.col("_i")).alias(result))
 
 
-def repair_start_hours(df: DataFrame, keys: Sequence[str], mandatory: Sequence[str], stay: int = 30, start: str = "start", minutes: str = "minutes", motive: str = "motive") -> DataFrame:
-    """(keys, trip, start, repaired): the unique cheapest set of hour edits that makes an
-    infeasible chain feasible, with `stay` minutes at least at a mandatory activity. Chains
-    that are feasible, have an untimed trip, or have no or several such sets stay."""
+def repair_start_hours(
+    df: DataFrame, keys: Sequence[str], mandatory: Sequence[str], stay: int = 30, start: str = "start", minutes: str = "minutes",
+    motive: str = "motive", back: str | None = None, work: Sequence[str] = (), errands: Sequence[str] = (), locked: str | None = None,
+) -> DataFrame:
+    """(keys, trip, start, repaired): day_edits() of the days that may need them, with `stay`
+    minutes at least at a mandatory activity next to an edit. Days that are feasible, have
+    an untimed trip, or have no or several cheapest edits stay. Returns after `work` may be
+    the next morning's; `errands` are the activities that nobody spends half a day at."""
     w = Window.partitionBy(*keys).orderBy("trip")
+    is_back = F.coalesce(F.col(motive) == F.lit(back), F.lit(False))
     least = F.when(F.col(motive).isin(*mandatory), stay).otherwise(0)
-    d = df.withColumn("_least", least).withColumn("_bad", F.col(start) < F.lag(F.col(start) + F.col(minutes) + F.col("_least")).over(w))
-    fields = {"s": F.col(start), "m": F.col(minutes), "k": F.col("_least")}
-    out = _per_chain(d, keys, fields, F.col("_bad"), hour_edits, "_h")
+    gap = F.lead(start).over(w) - F.col(start) - F.col(minutes)
+    errand = F.coalesce(F.col(motive).isin(*errands), F.lit(False))
+    first = F.lag("trip").over(w).isNull() & (F.col(start) < EARLY_START) & (gap >= EARLY_STAY)
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    fields = {
+        "s": F.col(start), "m": F.col(minutes), "k": least, "n": flag(is_back & F.lag(motive).over(w).isin(*work)), "e": flag(errand),
+        "h": flag(F.lead(is_back).over(w)), "l": flag(F.col(locked)) if locked else F.lit(0.0), "a": flag(~is_back & ~F.col(motive).isin(*work)),
+    }
+    d = df.withColumns({f"_{n}": c for n, c in fields.items()}).withColumn("_bad", (gap < -TOLERANCE) | (errand & (gap >= LONG_ERRAND)) | first)
+    out = _per_chain(d, keys, {n: F.col(f"_{n}") for n in fields}, F.col("_bad"), day_edits, "_h")
     return out.withColumn("repaired", F.col("start") + 60 * F.coalesce("_h", F.lit(0))).drop("_h")
 
 
+def read_start_times(
+    df: DataFrame, keys: Sequence[str], mandatory: Sequence[str], back: str, work: Sequence[str] = (), errands: Sequence[str] = (),
+    start: str = "start", minutes: str = "minutes", motive: str = "motive",
+) -> DataFrame:
+    """df with start read: hour edits, the move to the arrival, and both once more, what was
+    moved or edited locked; `edited` and `slid` mark the rows."""
+    out = df.withColumns({"edited": F.lit(False), "slid": F.lit(False)})
+    for _ in range(2):
+        marked = out.withColumn("_locked", F.col("edited") | F.col("slid"))
+        hours = repair_start_hours(marked, keys, mandatory, 30, start, minutes, motive, back, work, errands, "_locked").drop(start)
+        out = out.join(hours, [*keys, "trip"]).withColumn("edited", F.col("edited") | ~F.col("repaired").eqNullSafe(F.col(start)))
+        out = out.withColumn(start, F.col("repaired")).drop("repaired")
+        wraps = day_wraps(out, keys, mandatory, back, work, start, motive)
+        moved = slide_to_arrival(wraps, keys, mandatory, start=start, minutes=minutes, motive=motive).drop(start)
+        out = out.join(moved, [*keys, "trip"]).withColumn("slid", F.col("slid") | ~F.col("moved_start").eqNullSafe(F.col(start)))
+        out = out.withColumn(start, F.col("moved_start")).drop("moved_start")
+    return out
+
+
 def isotonic_starts(df: DataFrame, keys: Sequence[str], start: str = "start", minutes: str = "minutes") -> DataFrame:
     """(keys, trip, start, moved_start): least_movement() of each chain; chains that are in
     order or have an untimed trip stay."""
