@@ -57,3 +57,47 @@ def test_nearest_polygon_far_away_and_empty(spark):
     got = {r.id: (r.zone, r.distance) for r in zones.nearest_polygon(points, polygons, "id").collect()}
     assert got == {1: (7, 0.0), 2: (7, 100.0)}
     assert zones.nearest_polygon(points, polygons.limit(0), "id").count() == 0
+
+
+def test_score_task_keeps_answers(spark):
+    rows = [(k, "a" if k % 2 else "b", ("yes" if k % 2 else "no") if k < 80 else None, 1.0) for k in range(100)]
+    df = models.encode(spark.createDataFrame(rows, "k long, x string, answer string, w double"), {"x": ["a", "b"]})
+    model = models.fit(df, F.when(F.col("answer").isNotNull(), (F.col("answer") == "yes").cast("int")), "w", 0.01)
+    got = {r.k: r for r in models.score_task(df, model, "answer", ["no", "yes"]).collect()}
+    assert all(r.final == ("yes" if k % 2 else "no") and r.was_imputed == (k >= 80) for k, r in got.items())
+    assert got[0].probabilities == [1.0, 0.0] and 0.5 < got[81].confidence < 1
+
+
+def test_density_ratio_moves_the_source_to_the_target(spark):
+    rows = [(k % 4 == 0, "s", 1.0, False) for k in range(400)] + [(k % 4 != 0, "t", 1.0, True) for k in range(400)]
+    df = spark.createDataFrame([("y" if x else "n", w, t) for x, _, w, t in rows], "x string, w double, target boolean")
+    out = models.density_ratio_reweight(models.encode(df, {"x": ["n", "y"]}), "target", "w")
+    share, total = out.agg(F.sum(F.when(F.col("x") == "y", F.col("ratio_weight"))) / F.sum("ratio_weight"), F.sum("ratio_weight")).first()
+    assert share == pytest.approx(0.75, abs=0.01) and total == pytest.approx(400)
+
+
+def test_select_one_se_takes_the_simplest(spark):
+    losses = {0.0: (0.50, 0.52, 0.51), 0.1: (0.505, 0.518, 0.513), 1.0: (0.60, 0.61, 0.66)}
+    df = spark.createDataFrame([(c, k, v) for c, vs in losses.items() for k, v in enumerate(vs)], "penalty double, fold int, log_loss double")
+    got = {r.penalty: r for r in models.select_one_se(df, "penalty", "penalty").collect()}
+    assert [c for c, r in got.items() if r.chosen] == [0.1] and got[0.0].gap == 0 and got[0.1].mean == pytest.approx(0.512)
+
+
+def test_fit_arms_learn_a_rule(spark):
+    rows = [(k % 3, float(k % 7), 1.0 + k % 2, "abc"[k % 3]) for k in range(210)]
+    df = spark.createDataFrame(rows, "y int, z double, w double, x string")
+    for classes, label in ((3, F.col("y")), (2, (F.col("y") == 1).cast("int"))):
+        arms = {kind: (kind, {"x": ["a", "b", "c"]}, ["z"]) for kind in ("logistic", "forest", "boosting")}
+        for name, model in models.fit_arms(df, arms, label, "w", classes).items():
+            scored = model.transform(models.encode(df, {"x": ["a", "b", "c"]}, ["z"])).withColumn("l", label)
+            assert scored.where("prediction <> l").count() == 0, name
+    with pytest.raises(ValueError, match="kind"):
+        models.fit_arms(df, {"x": ("net", {}, ["z"])}, F.col("y"), "w", 3)
+
+
+def test_training_populations(spark):
+    rows = [(k, "a" if k % 2 else "b", k % 2, 1.0) for k in range(200)]
+    df = models.encode(spark.createDataFrame(rows, "k long, x string, y int, w double"), {"x": ["a", "b"]})
+    out = models.compare_training_populations(df, {"all": F.lit(True), "wrong": (F.col("k") < 20)}, F.col("k") % 4 == 0, F.col("y"), "w")
+    got = {r.population: r for r in out.collect()}
+    assert got["all"].rows == 150 and got["wrong"].rows == 15 and got["all"].log_loss < 0.1

@@ -153,3 +153,11 @@ def fill_unaged(spark, folder):
 def dwelling_scale(spark, folder):
     c = read(spark, folder, "customer")
     return c.select("c_custkey", r(zones.scale(F.col("c_acctbal"), F.col("c_custkey") % 2000, 1.0, 3.0), "scale"))
+
+
+@query()
+def compare_training_populations(spark, folder):
+    o = models.encode(_orders(spark, folder), {"o_orderpriority": PRIORITIES}, ["p", "kilo"])
+    populations = {"all": F.lit(True), "open": F.col("o_orderstatus") == "O", "dear": F.col("kilo") > 100}
+    out = models.compare_training_populations(o, populations, F.col("o_custkey") % 5 == 0, F.col("y"), "w")
+    return out.withColumn("log_loss", F.round("log_loss", 4))

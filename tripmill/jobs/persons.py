@@ -116,7 +116,7 @@ def first_origins_home(spark, folder):
 
 
 @query(
-    NIGHT + """, d AS (SELECT *, person % 6 AS job, CASE WHEN event_id % 10 < 7 THEN 'a' || dest ELSE motive END AS kind, trip = 1 AND motive = 'signup' AND origin <> home AS target FROM away WHERE event_id % 13 = 0),
+    NIGHT + """, d AS (SELECT *, person % 6 AS job, CASE WHEN event_id % 10 < 7 THEN 'a' || dest ELSE motive END AS kind, trip = 1 AND motive = 'signup' AND origin <> home AS target FROM away),
 own AS (SELECT person, dest, kind, row_number() OVER (PARTITION BY person, dest ORDER BY count(*) DESC, kind) AS n FROM d WHERE NOT target GROUP BY person, dest, kind),
 fam AS (SELECT hh, dest, kind, row_number() OVER (PARTITION BY hh, dest ORDER BY count(*) DESC, kind) AS n FROM d WHERE NOT target GROUP BY hh, dest, kind),
 oc AS (SELECT job, dest, kind, count(*) AS c FROM d WHERE NOT target GROUP BY job, dest, kind),
@@ -128,7 +128,7 @@ LEFT JOIN occ ON occ.n = 1 AND occ.t >= 5 AND occ.c >= 0.6 * occ.t AND occ.job =
 )
 def first_return_answers(spark, folder):
     kind = F.when(F.col("event_id") % 10 < 7, F.concat(F.lit("a"), F.col("dest").cast("string"))).otherwise(F.col("motive"))
-    d = _away(spark, folder).where("event_id % 13 = 0").withColumns({"job": F.col("person") % 6, "kind": kind})
+    d = _away(spark, folder).withColumns({"job": F.col("person") % 6, "kind": kind})
     target = (F.col("trip") == 1) & (F.col("motive") == BACK) & (F.col("origin") != F.col("home"))
     return returns.first_return_answers(d, "person", "hh", "job", target, "kind", "other").select("event_id", "start_type")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tripmill.operators import chains, imputation, revisions, tables, zones
@@ -473,13 +474,14 @@ def validate_table(spark, folder):
 
 
 @query(
-    """, p AS (SELECT *, CASE WHEN motive = 'signup' THEN 'H' ELSE 'O' END AS pur FROM diary WHERE event_id % 17 <> 0),
+    """, p AS (SELECT * REPLACE (trip + sum((event_id % 17 = 0)::INT) OVER (PARTITION BY person, day ORDER BY trip) AS trip), CASE WHEN motive = 'signup' THEN 'H' ELSE 'O' END AS pur FROM diary),
 q AS (SELECT *, pur = 'H' AND coalesce(lag(pur) OVER (PARTITION BY person, day ORDER BY trip), 'H') = 'H' AS at_home FROM p)
 SELECT CAST(sum(h) AS BIGINT) AS home_to_home, count(*) FILTER (NOT (lo = 1 AND hi = n)) AS gaps FROM (SELECT sum(at_home::INT) AS h, max(trip) AS hi, min(trip) AS lo, count(*) AS n FROM q GROUP BY person, day)""",
     diary=True,
 )
 def table_invariants(spark, folder):
-    d = diary(spark, folder).where("event_id % 17 <> 0").withColumn("pur", F.when(F.col("motive") == BACK, "H").otherwise("O"))
+    skipped = F.sum((F.col("event_id") % 17 == 0).cast("int")).over(Window.partitionBy(*DAY).orderBy("trip"))
+    d = diary(spark, folder).withColumns({"trip": F.col("trip") + skipped, "pur": F.when(F.col("motive") == BACK, "H").otherwise("O")})
     return tables.table_invariants(d, DAY, "trip", "pur")
 
 

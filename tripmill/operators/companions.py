@@ -12,7 +12,7 @@ from .chains import over
 _TRIP = ("origin", "dest", "motive")
 
 
-def clock_gap(a: Column, b: Column) -> Column:
+def minutes_apart(a: Column, b: Column) -> Column:
     """Minutes between two times of day on a 24-hour clock."""
     d = F.abs(a - b) % 1440
     return F.least(d, 1440 - d)
@@ -40,7 +40,7 @@ def companion_links(df: DataFrame, household: Sequence[str], person: str = "pers
         both = [*keys, *[f"_{c}" for c in _TRIP]]
         a, b = _sides(near, both, {"person": F.col(person), "trip": F.col("trip"), "s": F.col("_start"), "e": F.col("_start") + F.col("_minutes")})
         part = a.join(b, both).where(
-            (F.col("person_a") < F.col("person_b")) & (clock_gap(F.col("s_a"), F.col("s_b")) <= tolerance)
+            (F.col("person_a") < F.col("person_b")) & (minutes_apart(F.col("s_a"), F.col("s_b")) <= tolerance)
             & (F.col("s_a") <= F.col("e_b")) & (F.col("s_b") <= F.col("e_a"))
         )
         if escort:
@@ -51,7 +51,7 @@ def companion_links(df: DataFrame, household: Sequence[str], person: str = "pers
     links = found.groupBy(*pair).agg(F.min_by("via", "rank").alias("via"))
 
     a, b = _sides(df, keys, {"person": F.col(person), "trip": F.col("trip"), "s": F.col("start")})
-    entries = a.join(b, keys).where((F.col("person_a") < F.col("person_b")) & (clock_gap(F.col("s_a"), F.col("s_b")) <= tolerance))
+    entries = a.join(b, keys).where((F.col("person_a") < F.col("person_b")) & (minutes_apart(F.col("s_a"), F.col("s_b")) <= tolerance))
     for fixed, free in (("trip_a", "trip_b"), ("trip_b", "trip_a")):
         other = entries.select(*household, "person_a", "person_b", fixed, F.col(free).alias("_other"))
         # Two different other trips at most decide: the smallest and the largest.
@@ -68,7 +68,7 @@ def companion_checks(links: DataFrame, trips: DataFrame, household: Sequence[str
     for s in "ab":
         one = trips.select(*household, F.col(person).alias(f"person_{s}"), F.col("trip").alias(f"trip_{s}"), F.col("start").alias(f"start_{s}"))
         out = out.join(one, [*household, f"person_{s}", f"trip_{s}"], "left")
-    gap = clock_gap(F.col("start_a"), F.col("start_b"))
+    gap = minutes_apart(F.col("start_a"), F.col("start_b"))
     status = F.when(gap <= tolerance, "same_entry").when(720 - gap <= tolerance, "half_day").when(gap.isNotNull(), "apart")
     return out.withColumn("status", status)
 

@@ -157,3 +157,48 @@ def marginal_log_loss(df: DataFrame, level: str, weight: str) -> DataFrame:
     """(log_loss): of the weighted class shares, taken as everyone's prediction."""
     cells = df.groupBy(level).agg(F.sum(weight).alias("w"))
     return cells.agg(F.sum("w").alias("t"), F.sum(F.col("w") * F.log("w")).alias("e")).select((F.log("t") - F.col("e") / F.col("t")).alias("log_loss"))
+
+
+def build_task_frame(source: DataFrame, parts: Sequence[tuple[DataFrame, Sequence[str]]], target: str, slugs: dict[str, str]) -> DataFrame:
+    """source with the features of parts (each by its keys, one row a key), the target as the
+    slug of its label, and `unknown` where there is no answer; an unlisted label is an error."""
+    odd = source.where(F.col(target).isNotNull() & ~F.col(target).isin(*slugs)).select(target).distinct().limit(10).collect()
+    if odd:
+        raise ValueError(f"{target}: unlisted {sorted(str(r[0]) for r in odd)}")
+    table = F.create_map(*[F.lit(x) for kv in slugs.items() for x in kv])
+    out = source.withColumn("unknown", F.col(target).isNull()).withColumn(target, table[F.col(target)])
+    for df, keys in parts:
+        out = out.join(df, list(keys), "left")
+    return out
+
+
+def chain_expected(df: DataFrame, key: str, probabilities: dict[str, str], scores: dict[str, float]) -> DataFrame:
+    """(key, expected): sum of each class's probability times its score."""
+    total = sum((F.col(p) * float(scores[c]) for c, p in probabilities.items()), F.lit(0.0))
+    return df.select(key, total.alias("expected"))
+
+
+def join_names_over_scenarios(df: DataFrame, key: str, names: str) -> DataFrame:
+    """(key, names): the distinct '+'-joined names of all rows of a key, sorted."""
+    one = df.select(key, F.explode(F.split(names, r"\+")).alias("_n")).where("_n <> ''").distinct()
+    found = one.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("_n")), "+").alias(names))
+    return df.select(key).distinct().join(found, key, "left").na.fill("", [names])
+
+
+def pipeline_two_levels(
+    persons: DataFrame, households: DataFrame, person: str, household: str, draws: int, seed: int,
+    person_step: tuple[str, Sequence[str], dict], counted: str, household_step: tuple[str, Sequence[str], dict], most: int,
+) -> DataFrame:
+    """(household, draw, members, class): draw d of the persons' classes feeds draw d of the
+    household's: the members drawn as `counted`, at most `most`, choose the probability
+    columns of the household step."""
+    own = chain_draws(persons, person, draws, seed, [person_step])
+    members = own.groupBy(household, "draw").agg(F.count_if(F.col(person_step[0]) == counted).alias("members"))
+    every = households.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))))
+    out = every.join(members, [household, "draw"], "left").na.fill(0, ["members"]).withColumn("members", F.least("members", F.lit(most)).cast("long"))
+    name, labels, given = household_step
+    u = uniform(F.col(household), F.col("draw"), F.lit(1), F.lit(seed))
+    value = F.lit(None).cast("string")
+    for n, columns in given.items():
+        value = F.when(F.col("members") == n, pick([F.col(c) for c in columns], labels, u)).otherwise(value)
+    return out.select(household, "draw", "members", value.alias(name))

@@ -65,7 +65,8 @@ def repeated_diary_pairs(chains: DataFrame, group: Sequence[str], hh: str, perso
     start within max_offset minutes: (group, person_a, person_b, max_offset).
 
     Diaries are reduced to the hash of their signature before the self-join, and meet
-    only within their group (area and date).
+    only within their group (area and date) and the band of their first start, so that a
+    common diary is dealt to as many keys as its starts spread over.
     """
     items = F.array_sort(F.collect_list(F.struct(trip, F.col(start).alias("_s"), *fields)))
     one = chains.groupBy(*group, hh, person).agg(items.alias("_t")).where(F.size("_t") >= min_trips)
@@ -74,13 +75,14 @@ def repeated_diary_pairs(chains: DataFrame, group: Sequence[str], hh: str, perso
         F.xxhash64(F.to_json(F.transform("_t", lambda t: F.struct(*[t[f].alias(f) for f in fields])))).alias("sig"),
         F.sha2(F.to_json(F.transform("_t", lambda t: F.struct(*[t[f].alias(f) for f in fields]))), 256).alias("full"),
     )
-    keys = [*group, "sig", "full"]
+    one = one.where(F.forall("s", lambda x: x.isNotNull())).withColumn("band", F.floor(F.get("s", F.lit(0)) / (max_offset + 1)))
+    keys = [*group, "sig", "full", "band"]
     a = one.withColumnsRenamed({"h": "h_a", "p": "person_a", "s": "s_a"})
-    b = one.withColumnsRenamed({"h": "h_b", "p": "person_b", "s": "s_b"})
+    near = one.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+    b = near.withColumnsRenamed({"h": "h_b", "p": "person_b", "s": "s_b"})
     offset = F.array_max(F.zip_with("s_a", "s_b", lambda x, y: F.abs(x - y)))
-    known = F.forall("s_a", lambda x: x.isNotNull()) & F.forall("s_b", lambda x: x.isNotNull())
     return (
-        a.join(b, keys).where(F.col("h_a") < F.col("h_b")).where(known).withColumn("max_offset", offset)
+        a.join(b, keys).where(F.col("h_a") < F.col("h_b")).withColumn("max_offset", offset)
         .where(F.col("max_offset") <= max_offset).select(*group, "person_a", "person_b", "max_offset")
     )
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -35,6 +35,44 @@ def fit(df: DataFrame, label: Column, weight: str, penalty: float = 0.0) -> Logi
     return LogisticRegression(weightCol="weight", regParam=penalty, maxIter=100, tol=1e-6).fit(known)
 
 
+def fit_arms(df: DataFrame, arms: dict[str, tuple[str, dict[str, Sequence[str]], Sequence[str]]], label: Column, weight: str, classes: int, seed: int = 1) -> dict:
+    """A fitted weighted model for each arm: (kind, categorical features with their levels,
+    numeric features); kind is logistic, forest or boosting (one against the rest where
+    there are more than two classes)."""
+    out = {}
+    for name, (kind, categorical, numeric) in arms.items():
+        known = encode(df.withColumns({"label": label.cast("double"), "weight": F.col(weight).cast("double")}), categorical, numeric)
+        known = known.select("features", "label", "weight").where("label IS NOT NULL")
+        if kind == "logistic":
+            model = LogisticRegression(weightCol="weight", maxIter=100, tol=1e-6)
+        elif kind == "forest":
+            model = RandomForestClassifier(weightCol="weight", numTrees=50, maxDepth=8, seed=seed)
+        elif kind == "boosting":
+            trees = GBTClassifier(weightCol="weight", maxIter=20, maxDepth=4, seed=seed)
+            model = trees if classes == 2 else OneVsRest(classifier=trees, weightCol="weight")
+        else:
+            raise ValueError(f"no model of kind {kind}")
+        out[name] = model.fit(known)
+    return out
+
+
+def compare_training_populations(
+    df: DataFrame, populations: dict[str, Column], held_out: Column, label: Column, weight: str, clip: float = 1e-12
+) -> DataFrame:
+    """(population, rows, log_loss): the weighted log loss on the same held-out rows of models
+    fitted on each population's other rows. Takes what encode() returns."""
+    d = df.withColumns({"_y": label.cast("int"), "_out": F.coalesce(held_out, F.lit(False))}).where("_y IS NOT NULL")
+    parts = []
+    for name, test in populations.items():
+        train = d.where(~F.col("_out") & test)
+        scored = fit(train, F.col("_y"), weight).transform(d.where("_out"))
+        q = F.greatest(F.coalesce(F.get(vector_to_array("probability"), F.col("_y")), F.lit(0.0)), F.lit(clip))
+        loss = scored.agg((-F.sum(F.col(weight) * F.log(q)) / F.sum(weight)).alias("log_loss"))
+        rows = train.agg(F.count("*").alias("rows"))
+        parts.append(rows.crossJoin(F.broadcast(loss)).select(F.lit(name).alias("population"), "rows", "log_loss"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def score_task(df: DataFrame, model: LogisticRegressionModel, observed: str, classes: Sequence[str]) -> DataFrame:
     """Adds probabilities (one-hot where the answer is observed), imputed, final,
     was_imputed and confidence."""

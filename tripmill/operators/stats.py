@@ -127,18 +127,38 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*aggs).select(rows.alias("r")).select("r.*")
 
 
+def _beside(df: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with the other columns of found, one row for each value of keys, nulls included."""
+    named = found.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return df.join(named, same, "left").drop(*[f"_key_{k}" for k in keys])
+
+
 def allocate(df: DataFrame, cell: str, value: str, total: str, sampled: str) -> DataFrame:
-    """Share each cell's total over its sampled areas in proportion to their own value."""
+    """Share each cell's total over its sampled areas in proportion to their own value. The
+    sums are aggregated and joined, so that no cell is one task."""
     own = F.when(F.col(sampled), F.col(value)).otherwise(0)
-    share = own / F.sum(own).over(Window.partitionBy(cell))
-    return df.withColumn("allocated", F.when(F.col(sampled), F.col(total) * share).otherwise(0.0))
+    out = _beside(df, df.groupBy(cell).agg(F.sum(own).alias("_all")), [cell])
+    return out.withColumn("allocated", F.when(F.col(sampled), F.col(total) * own / F.col("_all")).otherwise(0.0)).drop("_all")
 
 
-def rank_calibrate(df: DataFrame, groups: Sequence[str], score: str, tie: str, weight: str, bounds: DataFrame, group_key: str) -> DataFrame:
+def rank_calibrate(df: DataFrame, groups: Sequence[str], score: str, tie: str, weight: str, bounds: DataFrame, group_key: str, cells: int = 1000) -> DataFrame:
     """Level of each row: weighted mid-rank by score within its group, placed on the
-    reference cumulative distribution; bounds (group_key, cumulative: array), small."""
-    w = Window.partitionBy(*groups).orderBy(score, tie)
-    rank = (F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight) / 2) / F.sum(weight).over(Window.partitionBy(*groups))
-    placed = df.withColumn("_rank", rank).join(F.broadcast(bounds), group_key, "left")
+    reference cumulative distribution; bounds (group_key, cumulative: array), small.
+
+    Ranks are made in two steps: sums of the weights of each cell of a group's range of
+    scores, added up in order, and ranks within the cells, so that a group is dealt over
+    as many tasks as it has cells."""
+    range_ = df.groupBy(*groups).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"), F.sum(weight).alias("_all"))
+    d = _beside(df, range_, groups)
+    place = (F.col(score) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))
+    d = d.withColumn("_cell", F.coalesce(F.floor(place * cells), F.when(F.col(score).isNull(), F.lit(-1)).otherwise(F.lit(0))).cast("long"))
+    sums = d.groupBy(*groups, "_cell").agg(F.sum(weight).alias("_w"))
+    below = F.coalesce(F.sum("_w").over(Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = _beside(d, sums.select(*groups, "_cell", below.alias("_below")), [*groups, "_cell"])
+    within = Window.partitionBy(*groups, "_cell").orderBy(score, tie).rowsBetween(Window.unboundedPreceding, 0)
+    rank = (F.col("_below") + F.sum(weight).over(within) - F.col(weight) / 2) / F.col("_all")
+    placed = d.withColumn("_rank", rank).join(F.broadcast(bounds), group_key, "left")
     level = F.size(F.filter("cumulative", lambda b: b <= F.col("_rank")))
-    return placed.withColumn("level", F.when(F.col("cumulative").isNotNull(), level).cast("long")).drop("_rank", "cumulative")
+    out = placed.withColumn("level", F.when(F.col("cumulative").isNotNull(), level).cast("long"))
+    return out.drop("_rank", "cumulative", "_lo", "_hi", "_all", "_cell", "_below")
