@@ -188,9 +188,10 @@ SELECT person, day, trip, start, placed FROM walk"""
 @query()
 def repair_start_hours(spark, folder):
     back = F.when((F.col("event_id") % 13 == 0) & (F.col("start") >= 720), F.col("start") - 720).otherwise(F.col("start"))
-    return timing.repair_start_hours(diary(spark, folder).withColumn("start", back), DAY, ["purchase"])
+    out = timing.repair_start_hours(diary(spark, folder).withColumn("start", back), DAY, ["purchase"], back=BACK, work=["purchase"], errands=["view"])
+    return out.select("person", "day", "trip", "start", "repaired")
 
 
 @query()
 def isotonic_starts(spark, folder):
-    return timing.isotonic_starts(diary(spark, folder), DAY)
+    return timing.isotonic_starts(diary(spark, folder), DAY).select("person", "day", "trip", "start", "moved_start")

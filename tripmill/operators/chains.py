@@ -64,33 +64,35 @@ def slide_to_arrival(
     df: DataFrame, keys: Sequence[str], mandatory: Sequence[str] = (), tolerance: int = 15, limit: int = 60, start: str = "start",
     minutes: str = "minutes", motive: str = "motive", wraps: str = "wraps",
 ) -> DataFrame:
-    """(keys, trip, start, moved_start): a start before the running arrival moves to it if
+    """df plus moved_start: a start before the running arrival moves to it if
     the shortfall that was recorded is within tolerance, or within limit where the trip
     before is not mandatory; moved starts propagate, a trip that passes midnight (column
     wraps, where there is one) stays. A fold over the ordered trips: the test reads the
     recorded start before, the move the moved one."""
     night = F.coalesce(F.col(wraps), F.lit(False)) if wraps in df.columns else F.lit(False)
     reach = F.when(F.col(motive).isin(*mandatory), tolerance).otherwise(limit)
-    trips = F.array_sort(F.collect_list(F.struct("trip", F.col(start).alias("s"), F.col(minutes).alias("m"), night.alias("w"), reach.alias("r"))))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    item = F.struct("trip", F.col(start).cast("long").alias("s"), F.col(minutes).cast("long").alias("m"), night.alias("w"), reach.alias("r"), whole.alias("row"))
+    by_trip = lambda x, y: F.when(x["trip"] < y["trip"], -1).when(x["trip"] > y["trip"], 1).otherwise(0)
+    trips = F.array_sort(F.collect_list(item), by_trip)
     empty = F.struct(
         F.lit(None).cast("long").alias("moved_end"), F.lit(None).cast("long").alias("recorded_end"), F.lit(None).cast("int").alias("reach"),
-        F.array().cast("array<struct<trip:bigint,s:bigint,moved:bigint>>").alias("out"),
+        F.array().cast("array<bigint>").alias("out"),
     )
 
     def step(state: Column, t: Column) -> Column:
         short = state["recorded_end"] - t["s"]
         move = (t["s"] < state["moved_end"]) & (short <= state["reach"]) & ~t["w"]
         moved = F.when(F.coalesce(move, F.lit(False)), state["moved_end"]).otherwise(t["s"])
-        row = F.struct(t["trip"].alias("trip"), t["s"].alias("s"), moved.alias("moved"))
         return F.struct(
             F.coalesce(moved + t["m"], state["moved_end"]).alias("moved_end"),
             F.coalesce(t["s"] + t["m"], state["recorded_end"]).alias("recorded_end"),
             t["r"].alias("reach"),
-            F.concat(state["out"], F.array(row)).alias("out"),
+            F.concat(state["out"], F.array(moved)).alias("out"),
         )
 
-    folded = df.groupBy(*keys).agg(trips.alias("_t")).select(*keys, F.inline(F.aggregate("_t", empty, step, lambda s: s["out"])))
-    return folded.withColumnsRenamed({"s": start, "moved": "moved_start"})
+    folded = df.groupBy(*keys).agg(trips.alias("_t")).withColumn("_m", F.aggregate("_t", empty, step, lambda s: s["out"]))
+    return folded.select(F.posexplode("_t").alias("_i", "_r"), "_m").select("_r.row.*", F.get("_m", F.col("_i")).alias("moved_start"))
 
 
 def chain_report(df: DataFrame, keys: Sequence[str], start: str = "start", minutes: str = "minutes", home: str = "home") -> DataFrame:
@@ -189,12 +191,16 @@ def returns_copying_origin(df: DataFrame, back: str, motive: str = "motive", ori
     return df.withColumn(dest, F.when(copied, F.col(home)).otherwise(F.col(dest)))
 
 
-def returns_elsewhere(df: DataFrame, person: str, back: str, motive: str = "motive", dest: str = "dest", home: str = "home") -> DataFrame:
+def returns_elsewhere(
+    df: DataFrame, person: str, back: str, motive: str = "motive", dest: str = "dest", home: str = "home", among: Column | None = None
+) -> DataFrame:
     """A return that ends elsewhere takes the person's most common activity at that place
-    (ties to the first by value); it stays where there is none."""
-    own = df.where(~F.col(motive).eqNullSafe(F.lit(back)) & F.col(motive).isNotNull()).groupBy(person, dest, motive).agg(F.count("*").alias("_n"))
+    (ties to the first by value); it stays where there is none. Rows outside `among`
+    neither count nor change."""
+    among = F.lit(True) if among is None else among
+    own = df.where(among).where(~F.col(motive).eqNullSafe(F.lit(back)) & F.col(motive).isNotNull()).groupBy(person, dest, motive).agg(F.count("*").alias("_n"))
     first = own.groupBy(person, dest).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(motive).alias("m"))).alias("_b"))
-    away = F.col(motive).eqNullSafe(F.lit(back)) & (F.col(dest) != F.col(home))
+    away = among & F.col(motive).eqNullSafe(F.lit(back)) & (F.col(dest) != F.col(home))
     out = df.join(first.select(person, dest, F.col("_b.m").alias("_usual")), [person, dest], "left")
     return out.withColumn(motive, F.when(away, F.coalesce("_usual", F.col(motive))).otherwise(F.col(motive))).drop("_usual")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import chains, returns, timing
@@ -32,10 +32,13 @@ class ChainRules:
 CHANGED = ("origin", "dest", "motive", "start", "minutes")
 
 
-def _step(df: DataFrame, code: str, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """rule(df), with code added to `fixes` where it changed the row."""
+def _step(df: DataFrame, code: str, rule: Callable[[DataFrame], DataFrame], at: Column | None = None) -> DataFrame:
+    """rule(df), with code added to `fixes` where it changed the row; rows outside `at` keep
+    their values."""
     old = [F.col(c).alias(f"_old_{c}") for c in CHANGED]
     out = rule(df.select("*", *old))
+    if at is not None:
+        out = out.withColumns({c: F.when(at, F.col(c)).otherwise(F.col(f"_old_{c}")) for c in CHANGED})
     same = [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in CHANGED]
     hit = ~F.forall(F.array(*same), lambda x: x)
     fixes = F.when(hit, F.concat("fixes", F.array(F.lit(code)))).otherwise(F.col("fixes"))
@@ -52,8 +55,9 @@ def clean_chains(trips: DataFrame, keys: Sequence[str], person: str, rules: Chai
     chain without those rows, origins and first trips, rides home that run into the next
     trip, start hours and arrivals; last, what is left. trips has keys, trip, origin, dest,
     home, motive, start, minutes, age, and the day-start answer and place types
-    (answer, from_type, to_type); other columns go along. Rules over a day's trips use
-    windows over the same keys, so most of them share one shuffle.
+    (answer, from_type, to_type); other columns go along. The rows that are no trips stay in
+    the same plan as chains of their own (the key `no_trip`), so that the windows of most
+    rules share one shuffle and nothing is computed twice.
     """
     r, names = rules, [*trips.columns, "fixes"]
     d = trips.withColumn("fixes", F.array().cast("array<string>"))
@@ -64,28 +68,31 @@ def clean_chains(trips: DataFrame, keys: Sequence[str], person: str, rules: Chai
     d = _step(d, "motive_home", lambda x: chains.arrivals_home(x, keys, r.back))
     d = _step(d, "motive_escort", lambda x: returns.age_recode(x, r.daycare, r.escort) if r.daycare else x)
 
-    marked = walk(d)
-    rest = _step(marked.where(~F.col("non_trip")), "motive_usual", lambda x: chains.returns_elsewhere(x, person, r.back))
-    d = walk(rest.select(*names).unionByName(marked.where("non_trip").select(*names)))
-    morning = returns.next_morning_returns(d.where(~F.col("non_trip")), keys, r.back, r.work, r.evening)
-    no_trip = d.where("non_trip").select(*names, F.lit("no_trip_at_home").alias("issues"))
-    no_trip = no_trip.unionByName(morning.where("next_morning").select(*names, F.lit("no_trip_next_morning").alias("issues")))
-
-    c = morning.where(~F.col("next_morning")).select(*names)
-    c = _step(c, "origin_before", lambda x: chains.continuous_origins(x, keys))
-    c = _step(c, "origin_home", lambda x: returns.first_origins_home(x, keys, r.back, "answer", r.home_answer, "from_type", "to_type", r.night_places))
-    c = _step(c, "rotated", lambda x: chains.rotated_first_trips(x, keys))
-    c = _step(c, "short_return", lambda x: returns.short_returns(x, keys, r.back, r.other))
-    c = _step(c, "minutes_home", lambda x: chains.cap_rides_home(x, keys, r.back))
+    d = walk(_step(walk(d), "motive_usual", lambda x: chains.returns_elsewhere(x, person, r.back, among=~F.col("non_trip"))).drop("non_trip"))
+    d = returns.next_morning_returns(d, [*keys, "non_trip"], r.back, r.work, r.evening)
+    reason = F.when(F.col("non_trip"), "no_trip_at_home").when(F.col("next_morning"), "no_trip_next_morning")
+    c = d.select(*names, F.coalesce(reason, F.lit("")).alias("no_trip"))
+    within, trip = [*keys, "no_trip"], F.col("no_trip") == ""
+
+    c = _step(c, "origin_before", lambda x: chains.continuous_origins(x, within), trip)
+    home = lambda x: returns.first_origins_home(x, within, r.back, "answer", r.home_answer, "from_type", "to_type", r.night_places)
+    c = _step(c, "origin_home", home, trip)
+    c = _step(c, "rotated", lambda x: chains.rotated_first_trips(x, within), trip)
+    c = _step(c, "short_return", lambda x: returns.short_returns(x, within, r.back, r.other), trip)
+    c = _step(c, "minutes_home", lambda x: chains.cap_rides_home(x, within, r.back), trip)
     if r.read_hours:
-        c = timing.read_start_times(c, keys, r.mandatory, r.back, r.work, r.errands)
-        code = lambda flag, name: F.when(F.col(flag), F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
-        c = c.withColumn("fixes", F.concat("fixes", code("edited", "hour"), code("slid", "arrival"))).select(*names)
+        recorded = c.withColumn("_start", F.col("start"))
+        c = timing.read_start_times(recorded, within, r.mandatory, r.back, r.work, r.errands)
+        code = lambda flag, name: F.when(trip & F.col(flag), F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+        c = c.withColumn("fixes", F.concat("fixes", code("edited", "hour"), code("slid", "arrival")))
+        c = c.withColumn("start", F.when(trip, F.col("start")).otherwise(F.col("_start")))
     else:
-        slide = lambda x: chains.slide_to_arrival(chains.day_wraps(x, keys, r.mandatory, r.back, r.work), keys, r.mandatory)
-        c = _step(c, "arrival", lambda x: x.join(slide(x).drop("start"), [*keys, "trip"]).withColumn("start", F.col("moved_start")))
-    c = chains.remaining_issues(c, keys, r.back).select(*names, "issues")
-    return c.unionByName(no_trip).withColumn("fixes", F.array_join("fixes", ";"))
+        wraps = lambda x: chains.day_wraps(x, within, r.mandatory, r.back, r.work)
+        slide = lambda x: chains.slide_to_arrival(wraps(x), within, r.mandatory).withColumn("start", F.col("moved_start"))
+        c = _step(c, "arrival", slide, trip)
+    c = chains.remaining_issues(c, within, r.back)
+    c = c.withColumn("issues", F.when(trip, F.col("issues")).otherwise(F.col("no_trip")))
+    return c.select(*names, "issues").withColumn("fixes", F.array_join("fixes", ";"))
 
 
 def chain_counts(cleaned: DataFrame) -> DataFrame:

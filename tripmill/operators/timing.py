@@ -22,6 +22,22 @@ MOST_COST = 6.0
 TOLERANCE, NIGHT_RETURN, EARLY_START, EARLY_STAY, LONG_ERRAND = 15, 600, 300, 480, 720
 
 
+def _smallest(far: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest of each row and their ids (ids ascend along the row), ties to the
+    smaller id."""
+    k = min(k, far.shape[1])
+    if k == far.shape[1]:
+        best = np.argsort(far, axis=1, kind="stable")
+        return np.take_along_axis(far, best, 1), ids[best]
+    edge = np.partition(far, k - 1, axis=1)[:, k - 1]
+    row, col = np.nonzero(far <= edge[:, None])
+    value = far[row, col]
+    order = np.lexsort((col, value, row))
+    starts = np.searchsorted(row, np.arange(len(far)))  # row is sorted
+    pick = order[starts[:, None] + np.arange(k)]
+    return value[pick], ids[col[pick]]
+
+
 def nearest_donors(targets: DataFrame, donors: DataFrame, key: str, donor: str, same: dict[str, float], numeric: dict[str, float], k: int = 30) -> DataFrame:
     """(key, donor, distance): the k donors of each target by a mixed distance, ties to the
     smallest donor: the weights of the columns of `same` that differ, plus weight times
@@ -44,7 +60,7 @@ def nearest_donors(targets: DataFrame, donors: DataFrame, key: str, donor: str,
     features = [f"_{c}" for c in names]
     asked = cells(targets, key, "_t", -1)
     first = Window.partitionBy(*features).orderBy("_d")
-    pool = cells(donors, donor, "_d", -2).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+    pool = cells(donors, donor, "_d", -2).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n").repartition(spark.sparkContext.defaultParallelism)
     kinds = asked.select(*features).distinct()
     blocks = max(1, -(-kinds.count() // BLOCK))
     found = None
@@ -65,8 +81,7 @@ def nearest_donors(targets: DataFrame, donors: DataFrame, key: str, donor: str,
                         far += weight * (q[f"_{c}"].to_numpy(np.int64)[:, None] != d[f"_{c}"].to_numpy(np.int64)[None, :])
                     for c, weight in numeric.items():
                         far += weight * np.abs(q[f"_{c}"].to_numpy(float)[:, None] - d[f"_{c}"].to_numpy(float)[None, :])
-                    best = np.argsort(far.round(9), axis=1, kind="stable")[:, :k]
-                    near, who = np.take_along_axis(far, best, 1).round(9), ids[best]
+                    near, who = _smallest(far.round(9), ids, k)
                     if lo in kept:
                         near, who = np.hstack([kept[lo][0], near]), np.hstack([kept[lo][1], who])
                         best = np.lexsort((who, near), axis=1)[:, :k]
@@ -229,29 +244,29 @@ def least_movement(starts: Sequence[float], minutes: Sequence[float]) -> list[in
 
 
 def _per_chain(df: DataFrame, keys: Sequence[str], fields: dict[str, Column], bad: Column, solve, result: str) -> DataFrame:
-    """(keys, trip, start, result): solve over the chains with a timed row for which bad
-    holds; other chains never reach Python."""
-    row = F.struct(F.col("trip").cast("long").alias("trip"), *[c.cast("double").alias(n) for n, c in fields.items()], bad.alias("bad"))
-    one = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_t"))
+    """df plus result: solve over the chains with a timed row for which bad holds; of the
+    others Python only sees nulls. Rows go through their chain whole, so nothing is joined."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    item = F.struct(F.col("trip").alias("trip"), *[c.cast("double").alias(n) for n, c in fields.items()], bad.alias("bad"), row.alias("row"))
+    by_trip = lambda x, y: F.when(x["trip"] < y["trip"], -1).when(x["trip"] > y["trip"], 1).otherwise(0)
+    one = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item), by_trip).alias("_t"))
     complete = F.forall("_t", lambda t: t["s"].isNotNull() & t["m"].isNotNull())
-    one = one.withColumn("_go", complete & F.exists("_t", lambda t: F.coalesce(t["bad"], F.lit(False))))
+    go = complete & F.exists("_t", lambda t: F.coalesce(t["bad"], F.lit(False)))
 
     @F.pandas_udf("array<long>")
     def answer(*columns: pd.Series) -> pd.Series:
-        return pd.Series([solve(*parts) for parts in zip(*columns)], dtype=object)
+        return pd.Series([None if parts[0] is None else solve(*parts) for parts in zip(*columns)], dtype=object)
 
-    parts = [F.col("_t").getField(n) for n in fields]
-    marked = one.where("_go").withColumn("_x", answer(*parts))
-    rest = one.where(~F.coalesce(F.col("_go"), F.lit(False))).withColumn("_x", F.lit(None).cast("array<long>"))
-    rows = marked.unionByName(rest).select(*keys, F.posexplode("_t").alias("_i", "_r"), "_x")
-    return rows.select(*keys, "_r.trip", F.col("_r.s").cast("long").alias("start"), F.get("_x", F.col("_i")).alias(result))
+    parts = [F.when(go, F.col("_t").getField(n)) for n in fields]
+    rows = one.withColumn("_x", answer(*parts)).select(F.posexplode("_t").alias("_i", "_r"), "_x")
+    return rows.select("_r.row.*", F.get("_x", F.col("_i")).alias(result))
 
 
 def repair_start_hours(
     df: DataFrame, keys: Sequence[str], mandatory: Sequence[str], stay: int = 30, start: str = "start", minutes: str = "minutes",
     motive: str = "motive", back: str | None = None, work: Sequence[str] = (), errands: Sequence[str] = (), locked: str | None = None,
 ) -> DataFrame:
-    """(keys, trip, start, repaired): day_edits() of the days that may need them, with `stay`
+    """df plus repaired: day_edits() of the days that may need them, with `stay`
     minutes at least at a mandatory activity next to an edit. Days that are feasible, have
     an untimed trip, or have no or several cheapest edits stay. Returns after `work` may be
     the next morning's; `errands` are the activities that nobody spends half a day at."""
@@ -264,11 +279,12 @@ def repair_start_hours(
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     fields = {
         "s": F.col(start), "m": F.col(minutes), "k": least, "n": flag(is_back & F.lag(motive).over(w).isin(*work)), "e": flag(errand),
-        "h": flag(F.lead(is_back).over(w)), "l": flag(F.col(locked)) if locked else F.lit(0.0), "a": flag(~is_back & ~F.col(motive).isin(*work)),
+        "b": flag(F.lead(is_back).over(w)), "l": flag(F.col(locked)) if locked else F.lit(0.0), "a": flag(~is_back & ~F.col(motive).isin(*work)),
     }
     d = df.withColumns({f"_{n}": c for n, c in fields.items()}).withColumn("_bad", (gap < -TOLERANCE) | (errand & (gap >= LONG_ERRAND)) | first)
     out = _per_chain(d, keys, {n: F.col(f"_{n}") for n in fields}, F.col("_bad"), day_edits, "_h")
-    return out.withColumn("repaired", F.col("start") + 60 * F.coalesce("_h", F.lit(0))).drop("_h")
+    repaired = (F.col(start) + 60 * F.coalesce("_h", F.lit(0))).cast("long")
+    return out.withColumn("repaired", repaired).drop("_h", "_bad", *[f"_{n}" for n in fields])
 
 
 def read_start_times(
@@ -280,20 +296,20 @@ def read_start_times(
     out = df.withColumns({"edited": F.lit(False), "slid": F.lit(False)})
     for _ in range(2):
         marked = out.withColumn("_locked", F.col("edited") | F.col("slid"))
-        hours = repair_start_hours(marked, keys, mandatory, 30, start, minutes, motive, back, work, errands, "_locked").drop(start)
-        out = out.join(hours, [*keys, "trip"]).withColumn("edited", F.col("edited") | ~F.col("repaired").eqNullSafe(F.col(start)))
-        out = out.withColumn(start, F.col("repaired")).drop("repaired")
+        hours = repair_start_hours(marked, keys, mandatory, 30, start, minutes, motive, back, work, errands, "_locked")
+        edited = F.col("edited") | ~F.col("repaired").eqNullSafe(F.col(start))
+        out = hours.withColumn("edited", edited).withColumn(start, F.col("repaired")).drop("repaired", "_locked")
         wraps = day_wraps(out, keys, mandatory, back, work, start, motive)
-        moved = slide_to_arrival(wraps, keys, mandatory, start=start, minutes=minutes, motive=motive).drop(start)
-        out = out.join(moved, [*keys, "trip"]).withColumn("slid", F.col("slid") | ~F.col("moved_start").eqNullSafe(F.col(start)))
-        out = out.withColumn(start, F.col("moved_start")).drop("moved_start")
+        moved = slide_to_arrival(wraps, keys, mandatory, start=start, minutes=minutes, motive=motive)
+        slid = F.col("slid") | ~F.col("moved_start").eqNullSafe(F.col(start))
+        out = moved.withColumn("slid", slid).withColumn(start, F.col("moved_start")).drop("moved_start", "wraps", "days")
     return out
 
 
 def isotonic_starts(df: DataFrame, keys: Sequence[str], start: str = "start", minutes: str = "minutes") -> DataFrame:
-    """(keys, trip, start, moved_start): least_movement() of each chain; chains that are in
-    order or have an untimed trip stay."""
+    """df plus moved_start: least_movement() of each chain; chains that are in order or have
+    an untimed trip stay."""
     w = Window.partitionBy(*keys).orderBy("trip")
     d = df.withColumn("_bad", F.col(start) < F.lag(F.col(start) + F.col(minutes)).over(w))
     out = _per_chain(d, keys, {"s": F.col(start), "m": F.col(minutes)}, F.col("_bad"), least_movement, "_s")
-    return out.withColumn("moved_start", F.coalesce("_s", "start")).drop("_s")
+    return out.withColumn("moved_start", F.coalesce("_s", F.col(start).cast("long"))).drop("_s", "_bad")
