@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tripmill.llm import bpe, chat, decontaminate, language_id, ngram_lm, overlap, pii, quality, queries, simhash, toxicity, url_filter
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, row string, spans string, kept string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, row string, spans string, kept string, `row number` string, base string, extracted string, digest string"
 WORDS = [f"w{k}x" for k in range(400)]
 
 
@@ -26,8 +26,8 @@ TEXTS = [None, "", "   \n\t ", long_text(1), long_text(1), long_text(2), "x " *
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(k, t, "en" if k % 2 else "fr", None, None, 1.0, "a", "b", "c", "d") for k, t in enumerate(TEXTS)]
-    rows += [rows[3], (None, None, None, None, None, None, None, None, None, None), (None, long_text(4), None, "s", 3, None, None, None, None, None)]
+    rows = [(k, t, "en" if k % 2 else "fr", None, None, 1.0, *"abcdefgh") for k, t in enumerate(TEXTS)]
+    rows += [rows[3], (None,) * 14, (None, long_text(4), None, "s", 3, *[None] * 9)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -281,3 +281,210 @@ def test_language_windows_cover_all_bytes():
 
 def test_stages_keep_columns():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "tokens"]
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, docs, empty, benchmark, tmp_path):
+    """Each stage against a plain version of what it decides, on whole rows."""
+    path, pattern = queries.tokenizer()
+    good = [f"The report of {k} says that the people in our town like to read and write about it. " * 1 + long_text(300 + k, 60) for k in range(6)]
+    mail = good[5] + " write to ann@mail.org now"
+    leak = good[4] + " " + " ".join(long_text(2).split()[20:50])
+    rows = [(100 + k, t, "en", "web", len(t), 1.0, *"abcdefgh") for k, t in enumerate([*good[:4], good[0], leak, mail])]
+    rows.append((None, good[3] + " x", "en", None, None, None, *[None] * 8))
+    whole = docs.unionByName(spark.createDataFrame(rows, SCHEMA))
+    for name, df in (("odd", whole), ("empty", empty)):
+        folder = str(tmp_path / name)
+        df.write.parquet(f"{folder}/documents.parquet")
+        benchmark.write.parquet(f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for step, function in corpus_pipeline.STAGES[:-1]:
+            before, now = now, corpus_pipeline.stage(function(spark, now, folder))
+            assert now.columns == df.columns, step
+            ids, kept = ([r.doc_id for r in x.select("doc_id").collect()] for x in (before, now))
+            if step == "near_duplicates" and name == "odd":
+                assert 104 not in kept and {100, 101, 102, 103} <= set(kept) and set(kept) <= set(ids)
+            if step == "decontamination":
+                leaks = {r.doc_id for r in decontaminate.find_leaks(before, benchmark).collect()}
+                assert set(kept) == set(ids) - leaks and (name == "empty" or leaks == {5, 105})
+            if step == "personal_data":
+                assert sorted(map(str, ids)) == sorted(map(str, kept))
+                texts = {r.doc_id: (r.text, r.n_chars) for r in now.collect()}
+                assert name == "empty" or texts[106] == (mail.replace("ann@mail.org", "[email]"), len(mail) - 5)
+        decoded = sorted(r.decoded_sha256 for r in corpus_pipeline.run(spark, folder).collect())
+        assert decoded == sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in now.collect())
+
+
+def test_a_large_class_is_named_salted(spark, monkeypatch):
+    texts = [long_text(1)] * 40 + [long_text(1) + " x", long_text(2), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    monkeypatch.setattr(simhash, "HOT_CLASS", 10)
+    assert {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(df).collect()} == plain
+
+
+def test_quality_em_equals_a_plain_one(spark):
+    texts = [long_text(k, 80) for k in range(30)] + ["# % | & " * 30 + long_text(k, 60) for k in range(6)] + ["same words here " * 40, None, "short"]
+    rows = {r.doc_id: r for r in quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    rules = list(quality.RULES)
+    voters = [[rows[k][f"vote_{r}"] for r in rules] for k in rows if rows[k].n_words]
+    prior, table = 0.8, [[[0.4, 0.3, 0.3]] * len(rules), [[0.1, 0.2, 0.7]] * len(rules)]
+
+    def posterior(votes):
+        like = [1 - prior, prior]
+        for c in (0, 1):
+            for r, v in enumerate(votes):
+                like[c] *= table[c][r][v + 1]
+        return like[1] / sum(like)
+
+    for _ in range(60):
+        post = [posterior(v) for v in voters]
+        new = [[[(sum(q if c else 1 - q for q, v in zip(post, voters) if v[r] == k) + 1) / (sum(q if c else 1 - q for q in post) + 3) for k in (-1, 0, 1)] for r in range(len(rules))] for c in (0, 1)]
+        prior, table = min(max(sum(post) / len(post), 0.05), 0.98), new
+    for r in range(len(rules)):
+        if table[1][r][2] < table[0][r][2] and table[1][r][0] > table[0][r][0]:
+            table[0][r] = table[1][r] = [(x + y) / 2 for x, y in zip(table[0][r], table[1][r])]
+    for k, r in rows.items():
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        p = posterior([r[f"vote_{x}"] for x in rules])
+        assert r.base_failed == failed and r.p_good == pytest.approx(p, abs=1e-9) and r.kept == (not failed and p >= 0.5)
+
+
+def test_lm_equals_a_plain_one(spark):
+    import math
+    import zlib
+
+    texts = [long_text(k % 9, 30).lower() for k in range(60)] + [None, " ", "Only Here onlyhere"]
+    tokens = [[*(t or "").lower().split(), "</end>"] for t in texts]
+    role = [zlib.crc32(str(k).encode()) % 5 for k in range(len(texts))]
+    uni, bi, rest_uni, rest_bi, held = {}, {}, {}, {}, {}
+    for words, f in zip(tokens, role):
+        for before, w in zip(["<s>", *words], words):
+            for into, ok in ((bi, f != 1), (rest_bi, f > 1), (held, f == 0)):
+                if ok:
+                    into[before, w] = into.get((before, w), 0) + 1
+        for w in ["<s>", *words]:
+            for into, ok in ((uni, f != 1), (rest_uni, f > 1)):
+                if ok:
+                    into[w] = into.get(w, 0) + 1
+    total, v = sum(n for w, n in uni.items() if w != "<s>"), len([w for w in uni if w != "<s>"])
+    rest_total = sum(n for w, n in rest_uni.items() if w != "<s>")
+    bucket = lambda c: min(int(math.log2(c)) + 1, ngram_lm.BUCKETS - 1) if c else 0
+    weights = [[0.0, 0.9, 0.1]] + [[0.5, 0.4, 0.1]] * (ngram_lm.BUCKETS - 1)
+    for b in range(ngram_lm.BUCKETS):
+        # the operator bins pairs by logarithms of their probabilities; here each is by itself
+        here = [(n, rest_bi.get(p, 0) / max(rest_uni.get(p[0], 0), 1), rest_uni.get(p[1], 0) / max(rest_total, 1), 1 / (v + 1)) for p, n in held.items() if bucket(rest_uni.get(p[0], 0)) == b]
+        if not here:
+            weights[b] = weights[b - 1] if b > 1 else weights[b]
+            continue
+        w = list(weights[b])
+        for _ in range(80):
+            new = [0.01 if b or k else 0.0 for k in range(3)]
+            for n, *p in here:
+                mixed = sum(x * y for x, y in zip(w, p))
+                new = [a + n * x * y / mixed for a, x, y in zip(new, w, p)]
+            w = [x / sum(new) for x in new]
+        weights[b] = w
+    got = {r.doc_id: r for r in ngram_lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, words in enumerate(tokens):
+        base = sum(math.log10((uni.get(w, 0) + 0.5) / (total + 0.5 * (v + 1))) for w in words)
+        score = 0.0
+        for before, w in zip(["<s>", *words], words):
+            c = uni.get(before, 0)
+            a = weights[bucket(c)]
+            score += math.log10(a[0] * bi.get((before, w), 0) / max(c, 1) + a[1] * uni.get(w, 0) / total + a[2] / (v + 1))
+        r = got[k]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (role[k] == 1, len(words), sum(uni.get(w, 0) > 0 for w in words), total)
+        assert r.base_score == pytest.approx(base, abs=1e-9) and r.score == pytest.approx(score, rel=0.02)
+
+
+def test_lexicon_matches_as_a_plain_search():
+    lexicon = toxicity.Lexicon({" bad ": 2.0, " bad": 1.5, " worst": 3.0, " wor": 1.0, " is bad": 9.0}, frozenset({"not bad"}))
+    for text in ("bad", "not bad", "badly worse WORST", "so b@d, w0rst", "", None, "x" * 50, "bad bad not bad badbad"):
+        words = toxicity.fold_text(text)
+        total = 0.0
+        for i, w in enumerate(words):
+            fits = [x for t, x in {" bad ": 2.0, " bad": 1.5, " worst": 3.0, " wor": 1.0}.items() if (t == f" {w} " or (not t.endswith(" ") and w.startswith(t[1:])))]
+            if w == "is" and i + 1 < len(words) and words[i + 1].startswith("bad"):
+                fits.append(9.0)
+            if fits and not (i and f"{words[i - 1]} {w}" == "not bad"):
+                total += max(fits)
+        assert lexicon.features(text) == pytest.approx((np.log1p(total), total / max(len(words), 1) ** 0.5))
+    assert toxicity.fold_text("ｉｄｉｏｔ i\u200bd\u0301iot !diot |diot 8ad") == ["idiot", "idiot", "idiot", "idiot", "bad"]
+
+
+def test_fast_convolution_equals_the_plain_one_and_learns():
+    network = language_id.Network(["a", "b"], seed=3)
+    x = np.random.default_rng(1).integers(0, 256, (6, language_id.WINDOW)).astype(np.uint8)
+    pooled = []
+    for w, table, bias in zip(language_id.WIDTHS, network.tables, network.bias):
+        n = language_id.WINDOW - max(language_id.WIDTHS) + 1
+        z = np.array([[sum(table[j][row[i + j]] for j in range(w)) + bias for i in range(n)] for row in x])
+        pooled.append(z.max(axis=1))
+    logits = np.maximum(np.concatenate(pooled, axis=1), 0) @ network.out + network.out_bias
+    want = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    assert network.log_probabilities(x) == pytest.approx(want, abs=1e-4)
+    texts = ["le chat est dans la maison avec nous " * 3, "the cat is in the house with all of us " * 3] * 100
+    train = np.stack([language_id.windows(t[k % 7 :], language_id.STRIDE)[0] for k, t in enumerate(texts)])
+    taught = language_id.Network(["fr", "en"])
+    taught.train(train, np.array([0, 1] * 100))
+    assert [p[0] for p in taught.predict(["la maison avec le chat est " * 5, "the house is with all cats " * 5])] == ["fr", "en"]
+
+
+def test_pii_base_equals_a_plain_search(spark):
+    kinds = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def passes(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        return {"email": True, "ip": all(int(p) <= 255 for p in m.split(".")) if kind == "ip" else True,
+                "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]
+
+    rng = np.random.default_rng(5)
+    alphabet = list("aB9.@-+ ()\u00e9\n01234567") + ["4111 1111 1111 1111", "10.0.0.1", "a.b@c.de", "+1 (234) 555-1234", "token = "]
+    texts = ["".join(alphabet[i] for i in rng.integers(0, len(alphabet), int(n))) for n in rng.integers(0, 300, 80)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in df.select("doc_id", pii.span_text(pii.base_spans(F.coalesce("text", F.lit("")))).alias("s")).collect()}
+    for k, t in enumerate(texts):
+        found = [(m.start(), i, m.end(), kind) for i, (kind, p) in enumerate(kinds.items()) for m in re.finditer(p, t or "", re.A) if passes(kind, m.group())]
+        assert got[k] == ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found)), t
+
+
+def test_pii_tokens_apart_and_redaction(spark):
+    """Tokens against a quadratic overlap test; redaction against slices."""
+    rng = np.random.default_rng(6)
+    parts = ["10.0.0.1", "x@y.org", "a1", "10.0.0.1x", "key:77", "k=z9!", "word", "(v2)", "9"]
+    texts = [" ".join(parts[i] for i in rng.integers(0, len(parts), int(n))) for n in (0, 1, 3, 40, 700)]
+    rows = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    token = re.compile(r"(?<![^\s\"'<>=])[^\s\"'<>=]*[0-9][^\s\"'<>=]*|(?<==)[^\s\"'<>=]{4,}")
+    for r in rows:
+        want = []
+        for m in token.finditer(r.text):
+            cut = re.match(r"(?:[A-Za-z_-]+:)?[\W_]*", m.group()).end()
+            value = re.sub(r"[\W_]+$", "", m.group()[cut:])
+            a = m.start() + cut
+            if value and not any(s.start < a + len(value) and a < s.end for s in r.base):
+                want.append((a, a + len(value), value))
+        assert [(x.span.start, x.span.end, x.span.match) for x in r.extracted if not x.base] == want
+        spans = [(s.start, s.end, s.kind) for s in r.base] + [(a, b, "id") for a, b, _ in want]
+        plain, at = "", 0
+        for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
+            if a >= at:
+                plain += r.text[at:a] + f"[{kind}]"
+            at = max(at, b)
+        schema = "text string, spans array<struct<start:int,end:int,kind:string,match:string>>"
+        df = spark.createDataFrame([(r.text, [(a, b, kind, "") for a, b, kind in spans])], schema)
+        assert df.select(pii._replaced(F.col("text"), F.col("spans")).alias("t")).first().t == plain + r.text[at:]
+
+
+def test_pii_redacts_what_it_discovers(spark):
+    secret = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    rows = [(k, f'{"abcdefgh"[k % 8]} word, token = "{secret(k)}" and more') for k in range(40)]
+    rows += [(100, 'see token = "zz-top-9"'), (101, 'see token = "correct-horse"'), (102, "version 3."), (103, None), (104, 'see token = "zz-top-9"')]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == 'a word, token = "[id]" and more' and got[100] == got[104] == 'see token = "[id]"' and got[101] == 'see token = "[id]"'
+    assert got[102] == "version 3." and got[103] is None

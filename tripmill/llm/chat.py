@@ -14,7 +14,8 @@ message. Backslashes, ``###`` and ``</turn>`` in texts, and ``:`` in roles, are
 by a backslash, so the output can be read back. The loss mask spans assistant texts.
 
 Defined cases: null texts and roles are empty; events without a conversation id form one
-conversation of their own; events of equal seq go by kind, message, role and text;
+conversation of their own; events of equal seq go messages first, then by kind,
+message, role and text;
 repeated events count each time; unknown kinds are errors. Other columns are not read.
 An empty table gives no rows. A task holds one conversation at a time.
 """
@@ -73,14 +74,17 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def fold_events(events: list[tuple]) -> list[tuple[str, str]]:
     """Final (role, text) messages of (kind, message, role, text) events in order."""
     messages: list[list] = []  # id, role, parts of the text
+    last: dict = {}  # where each id was added last
     for kind, message, role, text in events:
         if kind == "message":
+            last[message] = len(messages)
             messages.append([message, role or "", [text or ""]])
             continue
         if kind not in ("delta", "edit", "regenerate"):
             raise ValueError(f"unknown event kind {kind!r}")
-        at = next((i for i in range(len(messages) - 1, -1, -1) if messages[i][0] == message), None)
+        at = last.get(message)
         if at is None:
+            last[message] = len(messages)
             messages.append([message, role or "", [text or ""]])
         elif kind == "delta":
             messages[at][2].append(text or "")
@@ -88,6 +92,7 @@ def fold_events(events: list[tuple]) -> list[tuple[str, str]]:
             messages[at][2] = [text or ""]
             if kind == "regenerate":
                 del messages[at + 1 :]
+                last = {m[0]: i for i, m in enumerate(messages)}
     return [(role, "".join(parts)) for _, role, parts in messages]
 
 
@@ -122,7 +127,7 @@ def format_chats(events: DataFrame) -> DataFrame:
     return (
         events.select(F.col("conv_id").cast("long"), "seq", "kind", "message", "role", "text")
         .repartition(partitions(spark), "conv_id")
-        .sortWithinPartitions("conv_id", "seq", "kind", "message", "role", "text")
+        .sortWithinPartitions("conv_id", "seq", F.col("kind") != "message", "kind", "message", "role", "text")
         .select("conv_id", "kind", "message", "role", "text")
         .mapInArrow(tidy(run), "conv_id long, formatted string, loss array<struct<start: long, end: long>>")
     )

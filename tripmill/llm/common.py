@@ -33,9 +33,12 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one where it is unset in local mode
+    (tests). A cluster must name it, since its executors share no other folder."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tripmill-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known

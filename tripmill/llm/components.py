@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     for _ in range(MAX_ROUNDS):
         now = stage(_small_star(_large_star(now)))
-        mark = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
         seen = mark

@@ -7,9 +7,9 @@ blocks - distance of them, so they meet in one of the tables keyed by that many
 there their Hamming distance is verified.
 
 Equal fingerprints count once before any join. A table's bucket hands on a spanning
-forest of its links, never all pairs; a bucket of more than BUCKET_LIMIT fingerprints is
-dealt anew by parts of its remaining bits (pigeonhole again, so no link is lost) until it
-is small, which the number of bits left over assures.
+forest of its links, never all pairs; a bucket of more than BUCKET_LIMIT fingerprints,
+found by a pre-aggregated count, is dealt anew by parts of its remaining bits (pigeonhole
+again, so no link is lost) until it is small, which the number of bits left over assures.
 
 Defined cases: a null or blank text has the fingerprint zero and links like any other;
 fewer words than a shingle count as one shingle. Rows that repeat a doc_id are one
@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stage, tidy
+from .common import small_batches, stage, tidy
 from .components import components
 
-BUCKET_LIMIT = 2048
+BUCKET_LIMIT, HOT_CLASS, SALTS = 2048, 4096, 32
 _CHUNK = 100_000
 
 
@@ -137,28 +137,29 @@ def links(fps: DataFrame, distance: int = 3, blocks: int = 6, limit: int = BUCKE
     keyed = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     found = None
     while True:
+        keyed = keyed.withColumn("bucket", F.col("fp").bitwiseAND(F.col("mask")))
+        large = stage(keyed.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("mask", "bucket"))
+        whole = large.isEmpty()
+        if not whole:  # salted, so that the rows of a large bucket are never in one task
+            salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+            apart = large.withColumn("large", F.lit(True)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            keyed = stage(keyed.withColumn("salt", salt).join(apart, ["mask", "bucket", "salt"], "left").drop("salt"))
         bucket = Window.partitionBy("mask", "bucket")
-        met = stage(
-            keyed.withColumn("bucket", F.col("fp").bitwiseAND(F.col("mask")))
-            .withColumn("n", F.count("*").over(bucket))
-            .where("n > 1")
-        )
         small = (
-            met.where(F.col("n") <= limit)
-            .select("mask", "bucket", "fp")
-            .repartition(partitions(spark), "mask", "bucket")
+            (keyed if whole else keyed.where("large IS NULL")).select("mask", "bucket", "fp")
+            .withColumn("n", F.count("*").over(bucket)).where("n > 1").select("mask", "bucket", "fp")
             .sortWithinPartitions("mask", "bucket", "fp")
             .mapInArrow(tidy(_forest(distance)), "a long, b long")
-        )
+        )
         found = small if found is None else found.union(small)
-        if met.where(F.col("n") > limit).isEmpty():
+        if whole:
             return found.distinct()
         # Free bits shrink by a quarter each round, so this ends: 2 ** free is a bound.
         finer = [(m, f) for m in masks for f in _finer(m, distance)]
         masks = sorted({f for _, f in finer})
         steps = spark.createDataFrame([(_signed(m), _signed(f)) for m, f in finer], "mask long, finer long")
         keyed = (
-            met.where(F.col("n") > limit).join(F.broadcast(steps), "mask").select("fp", F.col("finer").alias("mask")).distinct()
+            keyed.where("large").join(F.broadcast(steps), "mask").select("fp", F.col("finer").alias("mask")).distinct()
         )
 
 
@@ -169,15 +170,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, blocks:
 
 
 def _named(fps: DataFrame, distance: int, blocks: int, more: DataFrame | None = None) -> DataFrame:
-    """near_duplicates of stored fingerprints, linked further by more (a, b)."""
-    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    """near_duplicates of stored fingerprints, linked further by more (a, b). Classes of more
+    than HOT_CLASS documents meet their names salted."""
+    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     near = links(classes.select("fp"), distance, blocks)
     roots = components(near if more is None else near.union(more))
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("low").alias("least"))
     label = linked.join(least, "root").select("fp", "least")
-    names = classes.join(label, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
-    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = stage(classes.join(label, "fp", "left").select("fp", "n", F.coalesce("least", "low").alias("component_id")))
+    hot = names.where(F.col("n") > HOT_CLASS)
+    if hot.isEmpty():
+        return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+    hot = hot.select("fp", F.lit(True).alias("hot"), F.col("component_id").alias("named"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    marked = fps.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(hot, ["fp", "salt"], "left")
+    marked = stage(marked.select("doc_id", "fp", "hot", "named"))
+    rest = marked.where("hot IS NULL").join(names, "fp").select("doc_id", "fp", "component_id")
+    return rest.union(marked.where("hot").select("doc_id", "fp", "named"))
 
 
 def one_of_each(docs: DataFrame, width: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
@@ -187,7 +196,8 @@ def one_of_each(docs: DataFrame, width: int = 3, distance: int = 3, blocks: int
 
 
 def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    named = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    stay = docs.join(named, "doc_id", "left_semi").withColumn("row number", F.row_number().over(first))
-    return stay.where("`row number` = 1").drop("row number").unionByName(docs.where("doc_id IS NULL"))
+    named = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    first = Window.partitionBy("id").orderBy("h")
+    stay = rows.join(named, "id", "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1")
+    return stay.select("doc.*").unionByName(docs.where("doc_id IS NULL"))

@@ -1,13 +1,14 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick.
 
-Texts are folded first: lower case, look-alike letters to Latin ones, digits and signs
-that stand for letters to those. The lexicon (whole words and word beginnings, weighted
+Texts are folded first: compatibility forms (full-width and styled letters) to plain ones,
+lower case, marks that combine and signs of no width away, look-alike letters to Latin
+ones, digits and signs that stand for letters to those. The lexicon (whole words and word beginnings, weighted
 by log odds) and the exception phrases (a lexicon term with a neighbour word that only
 clean documents hold) are learned from labelled documents; a logistic curve turns the
 matched weight, also normalised by length, into a score.
 
 At most FIT_ROWS labelled documents are used for the fit, in order of the hash of their
-id; every document is scored on its whole text.
+id, which bounds the lexicon too; every document is scored on its whole text.
 
 Defined cases: null and empty texts have no matches and get the score of that. Repeated
 rows are scored row by row. Labels without a document are not used; of labels that
@@ -18,6 +19,7 @@ no rows; without labels of both kinds every score is the share of toxic labels.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,15 +30,16 @@ from pyspark.sql import functions as F
 
 from .common import fold, small_batches, stage, tidy
 
-FIT_ROWS, MIN_DOCS, MIN_ODDS, MAX_TERMS = 8_000, 4, 2.0, 5_000
+FIT_ROWS, MIN_DOCS, MIN_ODDS = 8_000, 4, 2.0
 PREFIXES = (4, 5, 6, 7, 8)
 #: Cyrillic and Greek letters that look like Latin ones.
 _LOOKALIKES = str.maketrans(
     {"а": "a", "в": "b", "е": "e", "і": "i", "ѕ": "s", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t",
      "у": "y", "х": "x", "ԁ": "d", "ɡ": "g", "ο": "o", "α": "a", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "ι": "i", "κ": "k"}
 )
-_LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-_SUBSTITUTE = re.compile(r"[013457@$](?=[013457@$]*[^\W\d_])")
+_LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"}
+_SUBSTITUTE = re.compile(r"[01345789@$!|](?=[01345789@$!|]*[^\W\d_])")
+_HIDDEN = re.compile(r"[\u00ad\u0300-\u036f\u200b-\u200f\u2060\ufeff]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -44,7 +47,7 @@ def fold_text(text: str | None) -> list[str]:
     """Folded words of a whole text."""
     low = (text or "").lower()
     if not low.isascii():
-        low = low.translate(_LOOKALIKES)
+        low = _HIDDEN.sub("", unicodedata.normalize("NFKC", low)).lower().translate(_LOOKALIKES)
     return _WORD.findall(_SUBSTITUTE.sub(lambda m: _LEET[m.group()], low))
 
 
@@ -133,11 +136,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     odds = F.log((F.col("toxic") + 0.5) / (t + 1)) - F.log((F.col("clean") + 0.5) / (c + 1))
     best = (
         _counted(sample, _terms).where(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
-        .orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "term").limit(MAX_TERMS).collect()
+        .select("term", "odds").collect()
     )
     plain = Lexicon({r["term"]: float(r["odds"]) for r in best})
     phrases = _counted(sample, lambda words: {p for _, b, a in plain.hits(words) for p in (b, a)})
-    exceptions = phrases.where("toxic = 0 AND clean >= 3").orderBy(F.desc("clean"), "term").limit(MAX_TERMS).collect()
+    exceptions = phrases.where("toxic = 0 AND clean >= 3").select("term").collect()
     lexicon = Lexicon(plain.weights, frozenset(r["term"] for r in exceptions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
