@@ -310,7 +310,8 @@ def test_pipeline_on_odd_and_empty_tables(spark, docs, empty, benchmark, tmp_pat
                 assert sorted(map(str, ids)) == sorted(map(str, kept))
                 texts = {r.doc_id: (r.text, r.n_chars) for r in now.collect()}
                 assert name == "empty" or texts[106] == (mail.replace("ann@mail.org", "[email]"), len(mail) - 5)
-        decoded = sorted(r.decoded_sha256 for r in corpus_pipeline.run(spark, folder).collect())
+        last = corpus_pipeline.run(spark, folder) if name == "empty" else corpus_pipeline.token_stage(spark, now, folder)
+        decoded = sorted(r.decoded_sha256 for r in last.collect())
         assert decoded == sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in now.collect())
 
 
