@@ -261,8 +261,8 @@ def _least(hits: Column, n: Column) -> Column:
 
 
 def _salted(df: DataFrame) -> DataFrame:
-    """df once for each salt."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """df once for each salt, to be merged and not broadcast."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def _salt(*by: str) -> Column:
