@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -489,3 +490,17 @@ def test_pii_redacts_what_it_discovers(spark):
     got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == 'a word, token = "[id]" and more' and got[100] == got[104] == 'see token = "[id]"' and got[101] == 'see token = "[id]"'
     assert got[102] == "version 3." and got[103] is None
+
+
+def test_decontamination_buckets_are_those_of_each_plain_word():
+    texts = ["", None, "  Ab, (ab) \t-- 'Straße!' «Straße» ÉTÉ.\n" + "z" * 70_000, " x\fX\v ...x "]
+    codes, words = decontaminate.coded(pa.array(texts, pa.string()))
+    assert words.tolist() == [len(decontaminate._raw_words(t)) for t in texts]
+    plain = [decontaminate._plain(w) for t in texts for w in decontaminate._raw_words(t)]
+    assert codes.tolist() == decontaminate._hashed(pa.array(plain, pa.binary())).tolist()
+    assert [c == 0 for c in codes] == [not w for w in plain] and len(set(codes.tolist())) == len(set(plain))
+    many = [f"w{k}" for k in range(70_000)]  # more than are hashed at once
+    found = decontaminate.coded(pa.array([" ".join(many)]))[0]
+    assert found[-1] == decontaminate.coded(pa.array([many[-1]]))[0][0]
+    assert 0.95 < len(np.unique(found)) / (2**18 * (1 - np.exp(-70_000 / 2**18))) < 1.05
+    assert [len(p) for p in decontaminate._pieces(pa.array(["a" * 3_000_000, None, "b", "c" * 2_500_000]))] == [1, 2, 1]
