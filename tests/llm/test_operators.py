@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tripmill.llm import bpe, chat, decontaminate, language_id, ngram_lm, overlap, pii, quality, queries, simhash, toxicity, url_filter
+from tripmill.llm import bpe, chat, components, decontaminate, language_id, ngram_lm, overlap, pii, quality, queries, simhash, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, row string, spans string, kept string, `row number` string, base string, extracted string, digest string"
 WORDS = [f"w{k}x" for k in range(400)]
@@ -504,3 +504,25 @@ def test_decontamination_buckets_are_those_of_each_plain_word():
     assert found[-1] == decontaminate.coded(pa.array([many[-1]]))[0][0]
     assert 0.95 < len(np.unique(found)) / (2**18 * (1 - np.exp(-70_000 / 2**18))) < 1.05
     assert [len(p) for p in decontaminate._pieces(pa.array(["a" * 3_000_000, None, "b", "c" * 2_500_000]))] == [1, 2, 1]
+
+
+def test_components_equal_a_plain_search_with_salted_stars(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_STAR", 20)
+    rng = np.random.default_rng(5)
+    pairs = [(7, 1000 + k) for k in range(60)] + [(1000 + k, 1100 + k) for k in range(30)]  # a star with tails
+    pairs += [(k, k + 1) for k in range(300, 340)]  # a path
+    pairs += [tuple(p) for p in rng.integers(-500, 0, (300, 2)).tolist()] + [(5, 5), (7, 1000)]
+    parent = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    want = {x: find(x) for a, b in pairs if a != b for x in (a, b)}
+    found = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(found) == len(want) and {r.node: r.root for r in found} == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
