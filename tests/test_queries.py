@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from tripmill.jobs import cleaning, contracts, fits, model_chains, persons, queries, records  # noqa: F401
+from tripmill.jobs import cleaning, contracts, evaluation, fits, model_chains, persons, queries, records  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="tables are missing")

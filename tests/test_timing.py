@@ -2,6 +2,7 @@
 
 import itertools
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -93,12 +94,16 @@ def test_clean_chains_end_to_end(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 4)), max_size=4))
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 4), st.booleans()), max_size=4))
 def test_least_movement_equals_brute_force(chain):
-    s, m = [t[0] for t in chain], [t[1] for t in chain]
-    got = timing.least_movement(s, m)
+    s, m, away = ([t[k] for t in chain] for k in range(3))
+    got = timing.least_movement(s, m, away)
     assert all(got[i + 1] >= got[i] + m[i] for i in range(len(got) - 1))
-    cost = lambda x: (sum(abs(a - b) for a, b in zip(x, s)), sum(a != b for a, b in zip(x, s)))
+
+    def cost(x):
+        zero = sum(away[i] and x[i + 1] == x[i] + m[i] for i in range(len(x) - 1))
+        return sum(abs(a - b) for a, b in zip(x, s)), sum(a != b for a, b in zip(x, s)), zero, sum(max(0, b - a) for a, b in zip(x, s))
+
     ways = itertools.product(range(0, 29), repeat=len(s)) if len(s) < 4 else []
     valid = [x for x in ways if all(x[i + 1] >= x[i] + m[i] for i in range(len(x) - 1))]
     if valid:
@@ -128,3 +133,24 @@ def test_nearest_donors_over_many_batches(spark):
     for t, c, x in [(1, 0, 10), (2, None, None), (3, 2, 49)]:
         every = sorted((5.0 * (c != i % 3) + abs((x or 0) - i * 7 % 50), i) for i in range(500))
         assert sorted((r.distance, r.d) for r in got if r.t == t) == every[:7]
+
+
+def test_nearest_donors_compare_few_pairs(spark):
+    donors = spark.range(0, 6000).select(F.col("id").alias("d"), (F.col("id") % 5).alias("c"), (F.col("id") % 3).alias("e"), (F.col("id") * 7919 % 10007 / 10).alias("x"))
+    targets = donors.where("d % 40 = 0").select(F.col("d").alias("t"), F.when(F.col("d") % 80 == 0, F.col("c")).alias("c"), "e", (F.col("x") + 0.03).alias("x"))
+    same, numeric, seen = {"c": 3.0, "e": 1.0}, {"x": 0.05}, {}
+    got = {}
+    for r in timing.nearest_donors(targets, donors, "t", "d", same, numeric, 6, seen).collect():
+        got.setdefault(r.t, []).append((r.distance, r.d))
+    pool = donors.collect()
+    for t in targets.collect():
+        far = lambda o: round(3.0 * (t.c != o.c) + 1.0 * (t.e != o.e) + 0.05 * abs(t.x - o.x), 9)
+        assert sorted((round(f, 6), d) for f, d in got[t.t]) == [(round(f, 6), d) for f, d in sorted((far(o), o.d) for o in pool)[:6]], t
+    assert seen["compared"] < seen["all"] / 10
+
+
+@pytest.mark.parametrize("n", [0, 3])
+def test_nearest_donors_of_few(spark, n):
+    donors = spark.range(n).select(F.col("id").alias("d"), F.lit(None).cast("string").alias("c"), F.col("id").alias("x"))
+    got = timing.nearest_donors(spark.createDataFrame([(7, "a", 1)], "t long, c string, x long"), donors, "t", "d", {"c": 1.0}, {"x": 1.0}, 5)
+    assert sorted((r.distance, r.d) for r in got.collect()) == [(1.0, 1), (2.0, 0), (2.0, 2)][:n]

@@ -194,4 +194,4 @@ def repair_start_hours(spark, folder):
 
 @query()
 def isotonic_starts(spark, folder):
-    return timing.isotonic_starts(diary(spark, folder), DAY).select("person", "day", "trip", "start", "moved_start")
+    return timing.isotonic_starts(diary(spark, folder), DAY, away=F.col("dest") != F.col("home")).select("person", "day", "trip", "start", "moved_start")

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripmill.sources.staging import stage
+
 from .chains import day_wraps, slide_to_arrival
 
-#: Targets that are broadcast at once.
-BLOCK = 5_000
+#: Groups of donors at most, and donors of a group that one task looks at.
+GROUPS, GROUP_ROWS = 4_096, 4_096
 
 #: Hours added to a start, cost, first and last hour of the start it applies to.
 HOUR_EDITS = ((12, 1.0, 0, 11), (-12, 1.1, 17, 23), (-10, 1.2, 15, 19), (10, 1.5, 0, 9), (2, 2.0, 10, 19))
@@ -22,34 +25,92 @@ MOST_COST = 6.0
 TOLERANCE, NIGHT_RETURN, EARLY_START, EARLY_STAY, LONG_ERRAND = 15, 600, 300, 480, 720
 
 
-def _smallest(far: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest of each row and their ids (ids ascend along the row), ties to the
-    smaller id."""
-    k = min(k, far.shape[1])
-    if k == far.shape[1]:
-        best = np.argsort(far, axis=1, kind="stable")
-        return np.take_along_axis(far, best, 1), ids[best]
-    edge = np.partition(far, k - 1, axis=1)[:, k - 1]
-    row, col = np.nonzero(far <= edge[:, None])
-    value = far[row, col]
-    order = np.lexsort((col, value, row))
-    starts = np.searchsorted(row, np.arange(len(far)))  # row is sorted
-    pick = order[starts[:, None] + np.arange(k)]
-    return value[pick], ids[col[pick]]
-
+def _groups(pool: DataFrame, same: dict[str, float], numeric: dict[str, float]) -> tuple[DataFrame, pd.DataFrame]:
+    """(pool with its group `_g`, table of groups): donors by category tuple and bands of
+    their numbers, with the range of each number, GROUPS groups at most.
 
-def nearest_donors(targets: DataFrame, donors: DataFrame, key: str, donor: str, same: dict[str, float], numeric: dict[str, float], k: int = 30) -> DataFrame:
+    Categories join the tuple by falling weight as long as the groups allow; the bands are
+    cut at quantiles, as many as then fit. Whatever is left out only widens the bounds.
+    """
+    order = sorted(same, key=lambda c: -same[c])
+    sizes = pool.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.struct(*[f"_{c}" for c in order[: k + 1]])).alias(f"t{k}") for k in range(len(order))]).first()
+    tuples = [c for k, c in enumerate(order) if sizes[f"t{k}"] * 1.2 <= GROUPS]
+    tuples = tuples[: next((k for k, c in enumerate(order) if c not in tuples), len(order))]
+    kinds = max(1.0, sizes[f"t{len(tuples) - 1}"] * 1.2) if tuples else 1.0
+    bands = max(1, int((GROUPS / kinds) ** (1 / len(numeric)))) if numeric else 1
+    bands = min(bands, max(1, sizes["n"] // 16))
+    by = [F.col(f"_{c}").alias(f"_c_{c}") for c in tuples]
+    if bands > 1:
+        cuts = pool.agg(*[F.percentile_approx(f"_{c}", [j / bands for j in range(1, bands)]).alias(c) for c in numeric]).first()
+        band = lambda c: F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts[c])))), lambda e: e < F.col(f"_{c}")))
+        by += [band(c).alias(f"_b_{c}") for c in numeric]
+    names = [f"_c_{c}" for c in tuples] + ([f"_b_{c}" for c in numeric] if bands > 1 else [])
+    banded = pool.select("*", *by)
+    ends = [x for c in numeric for x in (F.min(f"_{c}").alias(f"_lo_{c}"), F.max(f"_{c}").alias(f"_hi_{c}"))]
+    grouped = banded.groupBy(*names) if names else banded.groupBy()
+    table = grouped.agg(F.count("*").alias("_size"), *ends).toPandas().reset_index(names="_g")
+    table = table[table["_size"] > 0]
+    table["_salts"] = -(-table["_size"] // GROUP_ROWS)
+    spark = pool.sparkSession
+    if table.empty:
+        return banded.withColumns({"_g": F.lit(0), "_salt": F.lit(0)}).drop(*names), table
+    small = spark.createDataFrame(table[["_g", "_salts", *names]].astype({"_g": "int64", "_salts": "int64"}))
+    placed = banded.join(F.broadcast(small), names) if names else banded.crossJoin(F.broadcast(small))
+    return placed.withColumn("_salt", F.pmod(F.xxhash64("_d"), F.col("_salts"))).drop("_salts", *names), table
+
+
+def _visits(kinds: DataFrame, table: pd.DataFrame, same: dict[str, float], numeric: dict[str, float], k: int, further: bool) -> DataFrame:
+    """(features, _g, _salt): the groups that each target cell must look at. First those of
+    the least bounds that together hold k donors; further, the others whose bound is not
+    above `_far`, the k-th distance found in the first."""
+    told = kinds.sparkSession.sparkContext.broadcast(table)
+    features = [f"_{c}" for c in (*same, *numeric)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = told.value
+        size, salts, ids = (t[c].to_numpy(np.int64) for c in ("_size", "_salts", "_g"))
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                q = batch.iloc[lo : lo + 256]
+                bound = np.zeros((len(q), len(t)))
+                for c, weight in same.items():
+                    if f"_c_{c}" in t:
+                        bound += weight * (q[f"_{c}"].to_numpy(np.int64)[:, None] != t[f"_c_{c}"].to_numpy(np.int64)[None, :])
+                for c, weight in numeric.items():
+                    x = q[f"_{c}"].to_numpy(float)[:, None]
+                    bound += weight * np.maximum(np.maximum(t[f"_lo_{c}"].to_numpy(float) - x, x - t[f"_hi_{c}"].to_numpy(float)), 0)
+                near = np.argsort(bound, axis=1, kind="stable")
+                held = np.cumsum(size[near], axis=1)
+                first = np.zeros(bound.shape, bool)
+                np.put_along_axis(first, near, np.hstack([np.ones((len(q), 1), bool), held[:, :-1] < k]), 1)
+                chosen = ~first & (bound <= q["_far"].to_numpy(float)[:, None] + 1e-9) if further else first
+                row, group = np.nonzero(chosen)
+                times = salts[group]
+                row, group = np.repeat(row, times), np.repeat(group, times)
+                salt = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                yield q.iloc[row][features].assign(_g=ids[group], _salt=salt)
+
+    schema = ", ".join([*(f"`_{c}` long" for c in same), *(f"`_{c}` double" for c in numeric), "_g long, _salt long"])
+    return kinds.mapInPandas(run, schema)
+
+
+def nearest_donors(
+    targets: DataFrame, donors: DataFrame, key: str, donor: str, same: dict[str, float], numeric: dict[str, float], k: int = 30, report: dict | None = None
+) -> DataFrame:
     """(key, donor, distance): the k donors of each target by a mixed distance, ties to the
     smallest donor: the weights of the columns of `same` that differ, plus weight times
     the absolute difference of those of `numeric`. A null numeric value counts as 0; a
     null category differs from every value.
 
-    Exact. Rows of equal features are one cell: each target cell is searched for once,
-    and of a donor cell only the k smallest donors can be chosen. Target cells are the
-    query set, in blocks of about BLOCK; each partition of donors keeps its own best k of
-    every cell, and the best of these go back to the targets by their features.
+    Exact, without comparing all pairs. Rows of equal features are one cell: each target
+    cell is searched for once, and of a donor cell only the k smallest donors can be
+    chosen. Donors are grouped by categories and bands of their numbers, and a group's
+    ranges bound the distance to all of it from below. A target cell first looks at the
+    groups of the least bounds that hold k donors; the k-th distance among them is an
+    upper limit, so only groups whose bound is not above it are looked at further. Large
+    groups are dealt over tasks. report, if given, receives the pairs compared and those
+    that there are (one more pass).
     """
-    spark = targets.sparkSession
     names = [*same, *numeric]
 
     def cells(df: DataFrame, own: str, name: str, none: int) -> DataFrame:
@@ -60,43 +121,32 @@ def nearest_donors(targets: DataFrame, donors: DataFrame, key: str, donor: str,
     features = [f"_{c}" for c in names]
     asked = cells(targets, key, "_t", -1)
     first = Window.partitionBy(*features).orderBy("_d")
-    pool = cells(donors, donor, "_d", -2).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n").repartition(spark.sparkContext.defaultParallelism)
+    pool = stage(cells(donors, donor, "_d", -2).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n"))
+    pool, table = _groups(pool, same, numeric)
+    sides = pool.withColumnsRenamed({f: f"_o{f}" for f in features})
     kinds = asked.select(*features).distinct()
-    blocks = max(1, -(-kinds.count() // BLOCK))
-    found = None
-    for b in range(blocks):
-        shared = spark.sparkContext.broadcast(kinds.where(F.pmod(F.xxhash64(*features), F.lit(blocks)) == b).toPandas())
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            t = shared.value
-            kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for d in batches:
-                ids = d["_d"].to_numpy(np.int64)
-                order = np.argsort(ids, kind="stable")
-                d, ids = d.iloc[order], ids[order]
-                for lo in range(0, len(t), 256):
-                    q = t.iloc[lo : lo + 256]
-                    far = np.zeros((len(q), len(d)))
-                    for c, weight in same.items():
-                        far += weight * (q[f"_{c}"].to_numpy(np.int64)[:, None] != d[f"_{c}"].to_numpy(np.int64)[None, :])
-                    for c, weight in numeric.items():
-                        far += weight * np.abs(q[f"_{c}"].to_numpy(float)[:, None] - d[f"_{c}"].to_numpy(float)[None, :])
-                    near, who = _smallest(far.round(9), ids, k)
-                    if lo in kept:
-                        near, who = np.hstack([kept[lo][0], near]), np.hstack([kept[lo][1], who])
-                        best = np.lexsort((who, near), axis=1)[:, :k]
-                        near, who = np.take_along_axis(near, best, 1), np.take_along_axis(who, best, 1)
-                    kept[lo] = near, who
-            for lo, (near, who) in kept.items():
-                out = t.iloc[lo : lo + 256].loc[lambda x: x.index.repeat(near.shape[1])]
-                yield out.assign(_who=who.ravel(), _far=near.ravel())
-
-        schema = ", ".join([*(f"`_{c}` long" for c in same), *(f"`_{c}` double" for c in numeric)])
-        one = pool.mapInPandas(run, f"{schema}, _who long, _far double")
-        found = one if found is None else found.unionByName(one)
-    n = F.row_number().over(Window.partitionBy(*features).orderBy("_far", "_who"))
-    best = found.withColumn("_n", n).where(F.col("_n") <= k)
-    return asked.join(best, features).select(F.col("_t").alias(key), F.col("_who").alias(donor), F.col("_far").alias("distance"))
+    far = reduce(
+        lambda a, b: a + b,
+        [F.when(F.col(f"_{c}") != F.col(f"_o_{c}"), float(w)).otherwise(0.0) for c, w in same.items()]
+        + [float(w) * F.abs(F.col(f"_{c}") - F.col(f"_o_{c}")) for c, w in numeric.items()],
+        F.lit(0.0),
+    )
+    best = Window.partitionBy(*features).orderBy("_far", "_who")
+
+    def pairs(visits: DataFrame) -> DataFrame:
+        return visits.join(sides, ["_g", "_salt"]).select(*features, F.col("_d").alias("_who"), F.round(far, 9).alias("_far"))
+
+    def nearest(found: DataFrame) -> DataFrame:
+        return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+
+    near = stage(nearest(pairs(_visits(kinds, table, same, numeric, k, False))))
+    edge = near.groupBy(*features).agg(F.when(F.count("*") >= k, F.max("_far")).otherwise(F.lit(float("inf"))).alias("_far"))
+    more = _visits(edge, table, same, numeric, k, True)
+    if report is not None:
+        seen = [pairs(v).count() for v in (_visits(kinds, table, same, numeric, k, False), more)]
+        report |= {"compared": sum(seen), "all": kinds.count() * pool.count(), "groups": len(table)}
+    found = nearest(near.unionByName(pairs(more)))
+    return asked.join(found, features).select(F.col("_t").alias(key), F.col("_who").alias(donor), F.col("_far").alias("distance"))
 
 
 def knn_impute(near: DataFrame, donors: DataFrame, key: str, donor: str, motive: str, start: str, duration: str) -> DataFrame:
@@ -213,10 +263,11 @@ def day_edits(starts, minutes, stays, night, errand, home_next, locked, activity
     return hour_edits(starts, minutes, stays, TOLERANCE, *flags, early, menu)
 
 
-def least_movement(starts: Sequence[float], minutes: Sequence[float]) -> list[int]:
+def least_movement(starts: Sequence[float], minutes: Sequence[float], away: Sequence = ()) -> list[int]:
     """Starts from midnight on with the least total movement such that each trip leaves when
-    the previous arrives or later; of these the one that moves the fewest trips, then the
-    earliest.
+    the previous arrives or later; of these the one that moves the fewest trips, then
+    leaves the fewest stays of no minutes after a trip that ends away from home (`away`),
+    then moves the fewest minutes earlier.
 
     Starts less the minutes before them must not fall, and some best choice takes only
     such values or midnight, so it is found along the sorted values.
@@ -224,15 +275,18 @@ def least_movement(starts: Sequence[float], minutes: Sequence[float]) -> list[in
     before = np.concatenate([[0], np.cumsum(minutes)[:-1]]) if len(starts) else np.zeros(0)
     y = [int(v) for v in np.asarray(starts, float) - before]
     levels = sorted({0} | {v for v in y if v > 0})
-    at = {v: i for i, v in enumerate(levels)}
-    back, best = [], [(0, 0)] * len(levels)
-    for v in y:
-        lowest, arg, row, came = None, 0, [], []
+    out_of_home = [bool(away[i]) if len(away) else False for i in range(len(y))]
+    back, best = [], [(0, 0, 0, 0)] * len(levels)
+    for n, v in enumerate(y):
+        under, arg, row, came = None, 0, [], []
         for i, level in enumerate(levels):
-            if lowest is None or best[i] < lowest:
-                lowest, arg = best[i], i
-            row.append((lowest[0] + abs(v - level), lowest[1] + (i != at.get(v))))
-            came.append(arg)
+            # from a lower level, or from the same one, which is a stay of no minutes
+            here = best[i] if n == 0 else (best[i][0], best[i][1], best[i][2] + out_of_home[n - 1], best[i][3])
+            choice, at = (here, i) if under is None or here < under else (under, arg)
+            row.append((choice[0] + abs(v - level), choice[1] + (level != v), choice[2], choice[3] + max(0, v - level)))
+            came.append(at)
+            if under is None or best[i] < under:
+                under, arg = best[i], i
         best = row
         back.append(came)
     out = []
@@ -306,10 +360,11 @@ def read_start_times(
     return out
 
 
-def isotonic_starts(df: DataFrame, keys: Sequence[str], start: str = "start", minutes: str = "minutes") -> DataFrame:
+def isotonic_starts(df: DataFrame, keys: Sequence[str], start: str = "start", minutes: str = "minutes", away: Column | None = None) -> DataFrame:
     """df plus moved_start: least_movement() of each chain; chains that are in order or have
-    an untimed trip stay."""
+    an untimed trip stay. away: whether a trip ends away from home."""
     w = Window.partitionBy(*keys).orderBy("trip")
     d = df.withColumn("_bad", F.col(start) < F.lag(F.col(start) + F.col(minutes)).over(w))
-    out = _per_chain(d, keys, {"s": F.col(start), "m": F.col(minutes)}, F.col("_bad"), least_movement, "_s")
+    ends = F.coalesce(away if away is not None else F.lit(False), F.lit(False)).cast("double")
+    out = _per_chain(d, keys, {"s": F.col(start), "m": F.col(minutes), "a": ends}, F.col("_bad"), least_movement, "_s")
     return out.withColumn("moved_start", F.coalesce("_s", F.col(start).cast("long"))).drop("_s", "_bad")
