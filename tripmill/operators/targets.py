@@ -94,3 +94,56 @@ def check_constraint_set(
             rows[f"{kind}:{whole}"] = bad.where(off > tolerance * F.greatest(F.lit(1.0), F.abs("whole")))
     counted = [d.agg(F.count("*").alias("rows")).select(F.lit(n).alias("check"), "rows") for n, d in rows.items()]
     return reduce(DataFrame.union, counted)
+
+
+@dataclass(frozen=True)
+class Constraint:
+    """A target by geography: an SQL expression over sums of `columns` by the geography, or
+    a constant for each of its ids; a constant is multiplied by the column `share` of the
+    coverage table and the column `growth` of the growth table, where they are named."""
+
+    name: str
+    geography: str
+    expr: str | None = None
+    columns: Sequence[str] = ()
+    constant: dict | None = None
+    share: str | None = None
+    growth: str | None = None
+
+
+def constraint_set(universe: DataFrame, spec: Sequence[Constraint], shares: dict[str, DataFrame] | None = None, growth: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(geography, id, constraint, target) in long form.
+
+    A sum is null where all cells of a column are suppressed (null), and so is an
+    expression that reads it: a suppressed target is not a target of zero. shares and
+    growth hold, by geography, tables of its ids. A constant whose ids are not those of
+    the universe, or an id without the share or growth asked for, is an error.
+    """
+    parts = []
+    for geography in dict.fromkeys(c.geography for c in spec):
+        own = [c for c in spec if c.geography == geography]
+        summed = sorted({x for c in own for x in c.columns})
+        sums = universe.where(F.col(geography).isNotNull()).groupBy(geography).agg(F.count("*").alias("_rows"), *[F.sum(x).alias(x) for x in summed])
+        for kind, tables in (("share", shares), ("growth", growth)):
+            used = sorted({getattr(c, kind) for c in own if getattr(c, kind)})
+            if used:
+                if geography not in (tables or {}):
+                    raise ValueError(f"no {kind} table for {geography}")
+                sums = sums.join(tables[geography].select(geography, *[F.col(x).alias(f"_{kind}_{x}") for x in used]), geography, "left")
+        values = []
+        for c in own:
+            if c.constant is not None:
+                ids = {r[0] for r in sums.select(geography).limit(len(c.constant) + 1).collect()}
+                if ids != set(c.constant):
+                    raise ValueError(f"{c.name}: constants for {sorted(map(str, c.constant))}, not the ids of {geography}")
+                value = F.create_map(*[F.lit(x) for k, v in c.constant.items() for x in (k, float(v))])[F.col(geography)]
+                for kind in ("share", "growth"):
+                    if getattr(c, kind):
+                        factor = F.col(f"_{kind}_{getattr(c, kind)}")
+                        told = F.concat(F.lit(f"{c.name}: no {kind} for {geography} "), F.col(geography).cast("string"))
+                        value = value * F.coalesce(factor.cast("double"), F.raise_error(told).cast("double"))
+            else:
+                value = F.expr(c.expr)
+            values.append(F.struct(F.lit(c.name).alias("constraint"), value.cast("double").alias("target")))
+        parts.append(sums.select(F.lit(geography).alias("geography"), F.col(geography).cast("string").alias("id"), F.inline(F.array(*values))))
+    return reduce(DataFrame.unionByName, parts)
