@@ -30,14 +30,14 @@ s2 AS (SELECT *, coalesce(lead(trip) OVER {V} IS NULL AND motive = 'signup' AND
 t AS (SELECT * FROM s2 WHERE NOT morning)"""
 
 
-def _wraps(table: str) -> str:
-    """CTEs that end in q: table plus wraps and days."""
+def wraps_of(table: str, x: str = "") -> str:
+    """CTEs that end in q (after the prefix x): table plus wraps and days."""
     whole = "(PARTITION BY hh, day, person ORDER BY trip ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-    return f""", n0 AS (SELECT *, lag(start) OVER {V} AS prev, lag(motive) OVER {V} AS prem, coalesce(max((motive = 'purchase')::INT) OVER (PARTITION BY hh, day, person ORDER BY trip ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later FROM {table}),
-n1 AS (SELECT *, coalesce(((start <= 360 AND (prev >= 1080 OR (prev >= 720 AND motive = 'signup'))) OR (motive = 'signup' AND prem = 'purchase' AND prev >= 1080 AND start < 600)) AND later = 0, false) AS night FROM n0),
-n2 AS (SELECT *, start + 1440 * sum(night::INT) OVER {V} AS clock FROM n1),
-n3 AS (SELECT *, night AND coalesce(max(clock) OVER {whole} - first(clock) OVER {whole} < 1440, false) AS wraps FROM n2),
-q AS (SELECT *, sum(wraps::INT) OVER {V} AS days FROM n3)"""
+    return f""", {x}n0 AS (SELECT *, lag(start) OVER {V} AS prev, lag(motive) OVER {V} AS prem, coalesce(max((motive = 'purchase')::INT) OVER (PARTITION BY hh, day, person ORDER BY trip ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later FROM {table}),
+{x}n1 AS (SELECT *, coalesce(((start <= 360 AND (prev >= 1080 OR (prev >= 720 AND motive = 'signup'))) OR (motive = 'signup' AND prem = 'purchase' AND prev >= 1080 AND start < 600)) AND later = 0, false) AS night FROM {x}n0),
+{x}n2 AS (SELECT *, start + 1440 * sum(night::INT) OVER {V} AS clock FROM {x}n1),
+{x}n3 AS (SELECT *, night AND coalesce(max(clock) OVER {whole} - first(clock) OVER {whole} < 1440, false) AS wraps FROM {x}n2),
+{x}q AS (SELECT *, sum(wraps::INT) OVER {V} AS days FROM {x}n3)"""
 
 
 def _clock(a: str, b: str) -> str:
@@ -62,17 +62,25 @@ ISSUES = [
     ("doubtful_kind", "motive = 'signup' AND dest = home AND kind <> 'home'"), ("first_away", "first AND answer <> 'home'"), ("first_other_zone", "first AND answer = 'home' AND origin <> home"),
     ("last_away", "last AND NOT (motive IS NOT DISTINCT FROM 'signup' AND dest = home)"), ("activity_at_home", "motive IS DISTINCT FROM 'signup' AND kind = 'home'"), ("daycare", "motive = 'view'"),
     ("start_2301", "start = 1381 AND NOT edited"), ("gap_61", "mirror AND start - prev = 61"), ("gap_301", "mirror AND start - prev = 301"),
-    ("early_start", "first AND motive NOT IN ('signup', 'purchase') AND start < 300"), ("companion_12h", "half"),
+    ("early_start", "first AND coalesce(motive NOT IN ('signup', 'purchase'), true) AND start < 300"), ("companion_12h", "half"),
 ]
-ISSUES_SQL = (
-    CODED + WALK + _wraps("t") + ", l0 AS (SELECT *, CASE WHEN NOT edited THEN start END AS told FROM t)" + _links("l0", "told")
-    + f""", h AS (SELECT hh, day, person_a AS person, trip_a AS trip FROM links WHERE 720 - gap <= 20 UNION SELECT hh, day, person_b, trip_b FROM links WHERE 720 - gap <= 20),
+
+
+def issues_of(t: str) -> str:
+    """CTEs that end in r, the trips of t with what the codes read."""
+    return (
+        wraps_of(t) + f", l0 AS (SELECT *, CASE WHEN NOT edited THEN start END AS told FROM {t})" + _links("l0", "told")
+        + f""", h AS (SELECT hh, day, person_a AS person, trip_a AS trip FROM links WHERE 720 - gap <= 20 UNION SELECT hh, day, person_b, trip_b FROM links WHERE 720 - gap <= 20),
 r AS (SELECT q.*, lag(trip) OVER {V} IS NULL AS first, lead(trip) OVER {V} IS NULL AS last, lag(start + minutes) OVER {V} AS arrival, lag(dest) OVER {V} AS pd,
   coalesce(start < lag(start + minutes) OVER {V} - 15 AND NOT wraps, false) AS inv, coalesce(origin = lag(dest) OVER {V} AND dest = lag(origin) OVER {V} AND minutes = lag(minutes) OVER {V}
-  AND mode = lag(mode) OVER {V} AND NOT edited AND NOT lag(edited) OVER {V}, false) AS mirror, (hh, day, person, trip) IN (SELECT (hh, day, person, trip) FROM h) AS half FROM q)
-SELECT event_id, shadow, concat_ws(';', """
-    + ", ".join(f"CASE WHEN {test} THEN '{code}' END" for code, test in ISSUES)
-    + """) AS issues FROM r UNION ALL SELECT event_id, shadow, 'no_trip_next_morning' FROM s2 WHERE morning UNION ALL SELECT event_id, shadow, 'no_trip_at_home' FROM s1 WHERE non_trip"""
+  AND mode = lag(mode) OVER {V} AND NOT edited AND NOT lag(edited) OVER {V}, false) AS mirror, (hh, day, person, trip) IN (SELECT (hh, day, person, trip) FROM h) AS half FROM q)"""
+    )
+
+
+CODES = "concat_ws(';', " + ", ".join(f"CASE WHEN {test} THEN '{code}' END" for code, test in ISSUES) + ")"
+ISSUES_SQL = (
+    CODED + WALK + issues_of("t") + f"SELECT event_id, shadow, {CODES} AS issues FROM r"
+    + " UNION ALL SELECT event_id, shadow, 'no_trip_next_morning' FROM s2 WHERE morning UNION ALL SELECT event_id, shadow, 'no_trip_at_home' FROM s1 WHERE non_trip"
 )
 
 
@@ -99,7 +107,7 @@ def issue_codes(spark, folder):
 
 
 SCREENS_SQL = (
-    CODED + _wraps("coded") + f""", a AS (SELECT *, start + 1440 * days AS moment, lag(trip) OVER {V} IS NULL AS first, lead(trip) OVER {V} IS NULL AS last, lag(motive) OVER {V} = 'purchase' AS was_work FROM q),
+    CODED + wraps_of("coded") + f""", a AS (SELECT *, start + 1440 * days AS moment, lag(trip) OVER {V} IS NULL AS first, lead(trip) OVER {V} IS NULL AS last, lag(motive) OVER {V} = 'purchase' AS was_work FROM q),
 y AS (SELECT *, lead(moment) OVER {V} - moment - minutes AS stay FROM a), told AS (SELECT *, start - CASE WHEN edited THEN 40 ELSE 0 END AS told FROM coded)"""
     + _links("told", "told")
     + f""", c AS (SELECT DISTINCT hh, day, person, trip, kind FROM (SELECT *, CASE WHEN gap <= 20 AND {_clock("start_a", "start_b")} > 20 THEN 'apart' WHEN gap > 20 AND 720 - {_clock("start_a", "start_b")} <= 20 THEN 'half' END AS kind, person_a AS person, trip_a AS trip FROM links UNION ALL SELECT *, CASE WHEN gap <= 20 AND {_clock("start_a", "start_b")} > 20 THEN 'apart' WHEN gap > 20 AND 720 - {_clock("start_a", "start_b")} <= 20 THEN 'half' END, person_b, trip_b FROM links) WHERE kind IS NOT NULL),

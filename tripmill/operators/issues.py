@@ -32,12 +32,12 @@ class Labels:
     home_kind: str = "home"
 
 
-def issue_codes(df: DataFrame, household: Sequence[str], person: str, labels: Labels, tolerance: int = 15) -> DataFrame:
+def issue_codes(df: DataFrame, household: Sequence[str], person: str, labels: Labels, tolerance: int = 15, no_trip: str | None = None) -> DataFrame:
     """df plus `issues`, the ';'-joined codes of every defect left.
 
     df: household, person, trip, origin, dest, home, motive, kind (type of the destination),
     answer (type of where the day started), start, minutes, mode, edited (a rule or a hand
-    set the start). no_trip_at_home and no_trip_next_morning mark rows that are no trips;
+    set the start), and no_trip, if given, why a row is no trip ("" if it is one). no_trip_at_home and no_trip_next_morning mark rows that are no trips;
     the others are read over the chain without these: inverted (before the arrival by more
     than tolerance, not overnight), overnight, earlier, same_minute, overlap,
     discontinuous, return_elsewhere, doubtful_kind, first_away, first_other_zone,
@@ -45,10 +45,13 @@ def issue_codes(df: DataFrame, household: Sequence[str], person: str, labels: La
     companion_12h and untimed.
     """
     keys, who = [*household, person], labels.back
-    marked = at_home_walk(df, keys, who)
-    marked = next_morning_returns(marked, [*keys, "non_trip"], who, labels.work)
-    reason = F.when(F.col("non_trip"), "no_trip_at_home").when(F.col("next_morning"), "no_trip_next_morning").otherwise("")
-    d = marked.withColumn("_none", reason).drop("non_trip", "next_morning")
+    if no_trip is None:
+        marked = at_home_walk(df, keys, who)
+        marked = next_morning_returns(marked, [*keys, "non_trip"], who, labels.work)
+        reason = F.when(F.col("non_trip"), "no_trip_at_home").when(F.col("next_morning"), "no_trip_next_morning").otherwise("")
+        d = marked.withColumn("_none", reason).drop("non_trip", "next_morning")
+    else:
+        d = df.withColumn("_none", F.col(no_trip))
     within = [*keys, "_none"]
     d = day_wraps(d, within, labels.mandatory, who, labels.work).drop("days")
     links = companion_checks(

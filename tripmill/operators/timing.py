@@ -343,13 +343,15 @@ def repair_start_hours(
 
 def read_start_times(
     df: DataFrame, keys: Sequence[str], mandatory: Sequence[str], back: str, work: Sequence[str] = (), errands: Sequence[str] = (),
-    start: str = "start", minutes: str = "minutes", motive: str = "motive",
+    start: str = "start", minutes: str = "minutes", motive: str = "motive", locked: str | None = None,
 ) -> DataFrame:
     """df with start read: hour edits, the move to the arrival, and both once more, what was
-    moved or edited locked; `edited` and `slid` mark the rows."""
+    moved or edited locked, as are the rows of `locked` from the outset (from hour edits);
+    `edited` and `slid` mark the rows."""
     out = df.withColumns({"edited": F.lit(False), "slid": F.lit(False)})
     for _ in range(2):
-        marked = out.withColumn("_locked", F.col("edited") | F.col("slid"))
+        held = F.col(locked) if locked else F.lit(False)
+        marked = out.withColumn("_locked", F.col("edited") | F.col("slid") | held)
         hours = repair_start_hours(marked, keys, mandatory, 30, start, minutes, motive, back, work, errands, "_locked")
         edited = F.col("edited") | ~F.col("repaired").eqNullSafe(F.col(start))
         out = hours.withColumn("edited", edited).withColumn(start, F.col("repaired")).drop("repaired", "_locked")
