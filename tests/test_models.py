@@ -101,3 +101,59 @@ def test_training_populations(spark):
     out = models.compare_training_populations(df, {"all": F.lit(True), "wrong": (F.col("k") < 20)}, F.col("k") % 4 == 0, F.col("y"), "w")
     got = {r.population: r for r in out.collect()}
     assert got["all"].rows == 150 and got["wrong"].rows == 15 and got["all"].log_loss < 0.1
+
+
+def test_search_over_families_equals_plain_fits(spark):
+    df = spark.range(600).select("id", F.when(F.col("id") % 3 == 0, "s").otherwise("t").alias("f"), (F.col("id") * 13 % 100 / 100).alias("x"), (F.col("id") % 3).cast("int").alias("fold"), F.lit(1.0).alias("w"))
+    df = df.withColumn("y", ((F.col("id") * 7 % 100) < 100 * F.col("x")).cast("int"))
+    d = models.encode(df, {"f": ["s", "t"]}, ["x"])
+    specs = {"plain": ("logistic", {"regParam": 0.0}), "tree": ("forest", {"numTrees": 5, "maxDepth": 3}), "boost": ("boosting", {"maxIter": 3})}
+    got = {(r.config, r.fold): r.log_loss for r in models.search_models(d, F.col("y"), "w", "fold", 3, 2, specs).collect()}
+    plain = {r.fold: r.log_loss for r in models.grid_cv(d, F.col("y"), "w", "fold", 3, [0.0]).collect()}
+    assert len(got) == 9 and all(got["plain", k] == pytest.approx(plain[k], abs=1e-4) for k in range(3))
+    rows = [("a", 0, k, 0.50 + 0.01 * k) for k in range(3)] + [("b", 1, k, 0.49 + 0.02 * (k == 1)) for k in range(3)] + [("c", 2, k, 0.9) for k in range(3)]
+    chosen = [r.config for r in models.choose_model(spark.createDataFrame(rows, "config string, `order` int, fold int, log_loss double")).where("chosen").collect()]
+    assert chosen in (["a"], ["b"]) and len(chosen) == 1
+    with pytest.raises(ValueError, match="no family"):
+        models.search_models(d, F.col("y"), "w", "fold", 1, 2, {"x": ("net", {})})
+
+
+def test_group_folds_share_classes_and_keep_groups(spark):
+    df = spark.range(3000).select((F.col("id") % 211).alias("g"), F.when(F.col("id") % 211 < 30, "rare").when(F.col("id") % 2 == 0, "a").otherwise("b").alias("t"))
+    folds = models.stratified_group_folds(df, "g", "t", 5, 1)
+    assert folds.count() == 211 and folds.select("g").distinct().count() == 211
+    sizes = {}
+    for r in df.join(folds, "g").groupBy("t", "fold").count().collect():
+        sizes.setdefault(r.t, []).append(r["count"])
+    assert all(len(v) == 5 and max(v) <= 1.35 * min(v) for v in sizes.values()), sizes
+    assert models.stratified_group_folds(df.limit(0), "g", "t", 5).count() == 0
+
+
+def test_density_diagnostics(spark):
+    df = spark.createDataFrame([(float(k % 3 + 1), k / 10) for k in range(1, 41)], "w double, o double")
+    got = models.density_report(df, "w", "o").first()
+    rows = sorted((k / 10, float(k % 3 + 1)) for k in range(1, 41))
+    new = [w * o for o, w in rows]
+    assert (got.odds_median, got.odds_p90) == (2.0, 3.6) and got.effective == pytest.approx(sum(new) ** 2 / sum(x * x for x in new))
+    assert got.top_decile_share == pytest.approx(sum(w * o for o, w in rows if o >= 3.6) / sum(new))
+    target = spark.createDataFrame([(1, "x"), (2, "q"), (3, None)], "k long, f string")
+    source = spark.createDataFrame([("x",), ("y",)], "f string")
+    assert [(r.k, r.f) for r in models.within_support(target, source, ["f"]).orderBy("k").collect()] == [(1, "x"), (2, "missing"), (3, "missing")]
+
+
+def test_weighted_auc_and_quantiles(spark):
+    from tripmill.operators import metrics
+
+    rows = [(k % 2, round((k * 7 % 11) / 10, 1), float(k % 4 + 1)) for k in range(60)]
+    df = spark.createDataFrame(rows, "y int, p double, w double")
+    pos, neg = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+    wins = sum(a[2] * b[2] * ((a[1] > b[1]) + 0.5 * (a[1] == b[1])) for a in pos for b in neg)
+    want = wins / (sum(a[2] for a in pos) * sum(b[2] for b in neg))
+    for cells in (1, 3, 4096):
+        assert metrics.weighted_auc(df, "y", "p", "w", cells).first().auc == pytest.approx(want)
+    assert metrics.weighted_auc(df.where("y = 1"), "y", "p", "w").first().auc is None
+    for cells in (1, 2, 64):
+        got = {r.share: r.value for r in metrics.weighted_quantiles(df, "p", "w", [0.1, 0.5, 1.0], cells).collect()}
+        total = sum(r[2] for r in rows)
+        for q, v in got.items():
+            assert v == min(x for x in {r[1] for r in rows} if sum(r[2] for r in rows if r[1] <= x) >= q * total - 1e-9)

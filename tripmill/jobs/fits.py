@@ -161,3 +161,36 @@ def compare_training_populations(spark, folder):
     populations = {"all": F.lit(True), "open": F.col("o_orderstatus") == "O", "dear": F.col("kilo") > 100}
     out = models.compare_training_populations(o, populations, F.col("o_custkey") % 5 == 0, F.col("y"), "w")
     return out.withColumn("log_loss", F.round("log_loss", 4))
+
+
+@query(
+    """WITH o AS (SELECT 1 + o_custkey % 7 AS w, exp((o_orderkey * 37 % 1000) / 400.0) AS odds FROM orders),
+q AS (SELECT (SELECT min(odds) FROM (SELECT odds, sum(count(*)) OVER (ORDER BY odds) AS t, sum(count(*)) OVER () AS a FROM o GROUP BY odds) WHERE t >= 0.5 * a - 1e-9) AS m,
+  (SELECT min(odds) FROM (SELECT odds, sum(count(*)) OVER (ORDER BY odds) AS t, sum(count(*)) OVER () AS a FROM o GROUP BY odds) WHERE t >= 0.9 * a - 1e-9) AS p)
+SELECT count(*) AS "rows", round(sum(w * odds) ** 2 / sum((w * odds) ** 2), 4) AS effective, round(sum(w * odds) FILTER (odds >= p) / sum(w * odds), 6) AS top_decile_share,
+  round(any_value(m), 6) AS odds_median, round(any_value(p), 6) AS odds_p90 FROM o, q"""
+)
+def density_report(spark, folder):
+    o = read(spark, folder, "orders").select((1 + F.col("o_custkey") % 7).alias("w"), F.exp((F.col("o_orderkey") * 37 % 1000) / 400.0).alias("odds"))
+    got = models.density_report(o, "w", "odds")
+    return got.select("rows", F.round("effective", 4).alias("effective"), *[r(F.col(c), c) for c in ("top_decile_share", "odds_median", "odds_p90")])
+
+
+@query()
+def search_models(spark, folder):
+    """Three families over three group folds, the simplest within one standard error chosen."""
+    o = _orders(spark, folder)
+    split = models.stratified_group_folds(o, "o_custkey", "y", 3, 5)
+    d = models.encode(o.join(split, "o_custkey"), {"o_orderpriority": PRIORITIES}, ["p", "kilo"])
+    specs = {
+        "logistic, strong": ("logistic", {"regParam": 1.0}), "logistic": ("logistic", {"regParam": 0.001}),
+        "forest": ("forest", {"numTrees": 10, "maxDepth": 4}), "boosting": ("boosting", {"maxIter": 5}),
+    }
+    losses = models.search_models(d, F.col("y"), "w", "fold", 3, 2, specs)
+    return models.choose_model(losses).select("config", r(F.col("mean"), "mean"), r(F.col("gap"), "gap"), "chosen")
+
+
+@query()
+def stratified_group_folds(spark, folder):
+    """(o_custkey, fold) of orders by whole customers."""
+    return models.stratified_group_folds(_orders(spark, folder), "o_custkey", "y", 4, 5)

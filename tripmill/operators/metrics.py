@@ -134,7 +134,7 @@ def weighted_quantiles(df: DataFrame, value: str, weight: str, shares: Sequence[
     run = Window.orderBy("cell")  # a row for each cell
     sums = sums.withColumn("to", F.sum("c").over(run)).withColumn("from", F.col("to") - F.col("c"))
     asked = df.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
-    near = asked.crossJoin(F.broadcast(ends)).join(F.broadcast(sums), (F.col("share") * F.col("all") > F.col("from") * (1 - 1e-12)) & (F.col("from") < F.col("all")))
-    near = near.groupBy("share").agg(F.max_by(F.struct("cell", "from"), "cell").alias("x")).select("share", "x.cell", "x.from")
+    near = asked.crossJoin(F.broadcast(ends)).join(F.broadcast(sums), F.col("to") >= F.col("share") * F.col("all") * (1 - 1e-12))
+    near = near.groupBy("share").agg(F.min_by(F.struct("cell", "from"), "cell").alias("x")).select("share", "x.cell", "x.from")
     within = d.join(F.broadcast(near), "cell").withColumn("at", F.col("from") + F.sum("w").over(Window.partitionBy("share", "cell").orderBy("v")))
     return within.where(F.col("at") >= F.col("share") * F.col("all") * (1 - 1e-12)).groupBy("share").agg(F.min("v").alias("value"))

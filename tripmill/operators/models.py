@@ -5,8 +5,10 @@ Fits use Spark ML; what reaches the driver is bounded by levels, configurations
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
@@ -17,6 +19,10 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripmill.sources.staging import stage
+
+from .metrics import weighted_quantiles
+
 #: Probabilities are grouped at this many decimals where a global order is needed, which
 #: bounds the rows of that order by a million and one, whatever the input.
 DECIMALS = 6
@@ -154,15 +160,42 @@ def isotonic_calibrate(df: DataFrame, y: str, p: str, weight: str) -> DataFrame:
 
 
 def density_ratio_reweight(df: DataFrame, is_target: str, weight: str) -> DataFrame:
-    """The source rows with `ratio_weight`: their weight times the odds of a row like them
-    being a target row, rescaled to the sum of their weights. Takes what encode() returns."""
+    """The source rows with `odds`, those of a row like them being a target row, and
+    `ratio_weight`, their weight times the odds, rescaled to the sum of their weights. Takes
+    what encode() returns."""
     model = fit(df, F.col(is_target).cast("int"), weight)
     p = vector_to_array("probability")[1]
-    source = model.transform(df.where(~F.col(is_target))).withColumn("_o", F.col(weight) * p / (1 - p))
+    source = model.transform(df.where(~F.col(is_target))).withColumn("odds", p / (1 - p)).withColumn("_o", F.col(weight) * F.col("odds"))
     scale = source.agg((F.sum(weight) / F.sum("_o")).alias("_k"))
     return source.crossJoin(F.broadcast(scale)).withColumn("ratio_weight", F.col("_o") * F.col("_k")).drop("_o", "_k", "rawPrediction", "probability", "prediction")
 
 
+def within_support(target: DataFrame, source: DataFrame, features: Sequence[str], missing: str = "missing") -> DataFrame:
+    """target with the values of features that no source row has set to the missing label,
+    so that a density ratio is not fitted on a level that one side lacks."""
+    out = target
+    for c in features:
+        held = source.where(F.col(c).isNotNull()).select(F.col(c).alias(f"_has_{c}")).distinct()
+        out = out.join(held, F.col(c) == F.col(f"_has_{c}"), "left").withColumn(c, F.coalesce(F.col(f"_has_{c}"), F.lit(missing))).drop(f"_has_{c}")
+    return out
+
+
+def density_report(df: DataFrame, weight: str, odds: str) -> DataFrame:
+    """(rows, effective, top_decile_share, odds_median, odds_p90) of source rows whose new
+    weight is weight times odds: the effective sample size, the share of weight of the
+    tenth of rows with the largest odds, and quantiles of the odds (the least value that
+    the share of rows reaches), by cells of their range instead of a global order."""
+    d = df.select(F.col(odds).cast("double").alias("o"), (F.col(weight) * F.col(odds)).cast("double").alias("n"), F.lit(1.0).alias("one"))
+    at = weighted_quantiles(d, "o", "one", [0.5, 0.9]).agg(
+        F.max(F.when(F.col("share") == 0.5, F.col("value"))).alias("odds_median"), F.max(F.when(F.col("share") == 0.9, F.col("value"))).alias("odds_p90")
+    )
+    sums = d.crossJoin(F.broadcast(at)).agg(
+        F.count("*").alias("rows"), (F.pow(F.sum("n"), 2) / F.sum(F.col("n") * F.col("n"))).alias("effective"),
+        (F.sum(F.when(F.col("o") >= F.col("odds_p90"), F.col("n")).otherwise(0.0)) / F.sum("n")).alias("top_decile_share"),
+    )
+    return sums.crossJoin(F.broadcast(at))
+
+
 def weight_report(df: DataFrame, weight: str) -> DataFrame:
     """(rows, effective, largest_share): effective sample size and the largest weight's share."""
     return df.agg(
@@ -183,6 +216,108 @@ def grid_cv(df: DataFrame, label: Column, weight: str, fold: str, folds: int, pe
     return reduce(DataFrame.unionByName, parts)
 
 
+def search_models(
+    df: DataFrame, label: Column, weight: str, fold: str, folds: int, classes: int, specs: dict[str, tuple[str, dict]], workers: int = 4, clip: float = 1e-12
+) -> DataFrame:
+    """(config, order, fold, log_loss): weighted log loss of every configuration on every
+    fold, over several families. specs: name -> (family, parameters), simplest first;
+    families are logistic, forest and boosting. Takes what encode() returns.
+
+    The encoded rows are written once and read by all fits, which run side by side from a
+    few threads; what comes back is one number for each.
+    """
+    d = stage(df.select("features", label.cast("int").alias("label"), F.col(weight).cast("double").alias("weight"), F.col(fold).cast("int").alias("fold")).where("label IS NOT NULL"))
+
+    def build(family: str, given: dict):
+        made = {
+            "logistic": lambda: LogisticRegression(**({"weightCol": "weight", "maxIter": 100, "tol": 1e-6} | given)),
+            "forest": lambda: RandomForestClassifier(**({"weightCol": "weight", "numTrees": 30, "maxDepth": 6, "seed": 1} | given)),
+            "boosting": lambda: GBTClassifier(**({"weightCol": "weight", "maxIter": 15, "maxDepth": 3, "seed": 1} | given)),
+        }
+        if family not in made:
+            raise ValueError(f"no family {family}")
+        one = made[family]()
+        return one if family != "boosting" or classes == 2 else OneVsRest(classifier=one, weightCol="weight")
+
+    def loss(job: tuple[int, str, int]) -> tuple:
+        order, name, k = job
+        scored = build(*specs[name]).fit(d.where(F.col("fold") != k)).transform(d.where(F.col("fold") == k))
+        if "probability" in scored.columns:
+            p = vector_to_array("probability")
+        else:  # one against the rest gives raw scores only: their logistic, scaled to one
+            raw = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
+            p = F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, y: a + y))
+        q = F.greatest(F.coalesce(F.get(p, F.col("label")), F.lit(0.0)), F.lit(clip))
+        value = scored.agg(-F.sum(F.col("weight") * F.log(q)) / F.sum("weight")).first()[0]
+        return name, order, k, float(value)
+
+    jobs = [(order, name, k) for order, name in enumerate(specs) for k in range(folds)]
+    with ThreadPoolExecutor(workers) as pool:
+        found = list(pool.map(loss, jobs))
+    return df.sparkSession.createDataFrame(found, "config string, `order` int, fold int, log_loss double")
+
+
+def choose_model(losses: DataFrame) -> DataFrame:
+    """select_one_se() over search_models(): the first configuration, in the order given,
+    whose paired gap to the best is within one standard error."""
+    named = losses.withColumn("simpler", -F.col("order"))
+    return select_one_se(named, "config", "simpler")
+
+
+def stratified_group_folds(df: DataFrame, group: str, target: str, folds: int, seed: int = 0, most: int = 100_000) -> DataFrame:
+    """(group, fold): folds with like shares of every class, a group's rows in one fold.
+
+    Groups of equal class counts are alike, so the greedy choice is made for each kind of
+    group (`most` kinds at most), not for each group: kinds with the most uneven counts go
+    first, whole rounds over the folds, and each group left over to the fold where the
+    classes then spread least. Within a kind, groups are dealt by the hash of their name.
+    """
+    counts = df.groupBy(group, target).agg(F.count("*").alias("n"))
+    kinds = counts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(target).cast("string").alias("t"), "n"))).alias("kind"))
+    kinds = stage(kinds.select(group, F.to_json("kind").alias("kind")))
+    table = kinds.groupBy("kind").agg(F.count("*").alias("groups")).limit(most + 1).collect()
+    if len(table) > most:
+        raise ValueError(f"more than {most} kinds of groups")
+    parsed = [({x["t"]: x["n"] for x in json.loads(r["kind"])}, r["groups"], r["kind"]) for r in table]
+    labels = sorted({c for by, _, _ in parsed for c in by})
+    totals = {c: sum(by.get(c, 0) * n for by, n, _ in parsed) for c in labels}
+    spread = lambda v: math.sqrt(sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v))
+    parsed.sort(key=lambda x: (-spread([x[0].get(c, 0) for c in labels]), x[2]))
+    held = [dict.fromkeys(labels, 0) for _ in range(folds)]
+    deal = []
+    for by, n, kind in parsed:
+        quota = [n // folds] * folds
+        for k in range(folds):
+            for c in labels:
+                held[k][c] += by.get(c, 0) * quota[k]
+        for _ in range(n % folds):
+            def worth(k: int) -> tuple:
+                after = [spread([(held[j][c] + (by.get(c, 0) if j == k else 0)) / max(totals[c], 1) for j in range(folds)]) for c in labels]
+                return sum(after) / len(after), sum(held[k].values()), k
+
+            best = min((k for k in range(folds) if quota[k] == n // folds), key=worth)
+            quota[best] += 1
+            for c in labels:
+                held[best][c] += by.get(c, 0)
+        ends, ran = [], 0
+        for q in quota:
+            ran += q
+            ends.append(ran)
+        deal.append((kind, ends))
+    spark = df.sparkSession
+    if not deal:
+        return kinds.select(group, F.lit(0).alias("fold"))
+    h = F.md5(F.concat_ws("|", F.col(group).cast("string"), F.lit(str(seed))))
+    # places within a kind: counts of hash blocks before, then the place in the block
+    blocks = kinds.withColumns({"_h": h, "_b": F.substring(h, 1, 2)})
+    sizes = blocks.groupBy("kind", "_b").agg(F.count("*").alias("_n"))
+    run = Window.partitionBy("kind").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
+    placed = blocks.join(sizes, ["kind", "_b"]).withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy("kind", "_b").orderBy("_h", group)) - 1)
+    ends = spark.createDataFrame(deal, "kind string, ends array<long>")
+    return placed.join(ends, "kind").select(group, F.size(F.filter("ends", lambda e: e <= F.col("_at"))).alias("fold"))
+
+
 def select_one_se(losses: DataFrame, config: str, simpler: str, fold: str = "fold", loss: str = "log_loss") -> DataFrame:
     """(config, simpler, mean, gap, se, chosen): of the configurations whose paired gap to
     the best is within one standard error, the simplest (largest `simpler`)."""
