@@ -193,3 +193,20 @@ def test_license_scan_of_odd_rows(spark):
 
 def test_registered():
     assert {"op11_hard_negatives", "op12_fill_in_middle", "op13_license_scan"} <= set(queries.QUERIES)
+
+
+# -- the near-duplicate stage -----------------------------------------------------------------
+
+
+def test_template_pages_stay_and_copies_go(spark):
+    from tripmill.llm import overlap
+
+    rng = np.random.default_rng(5)
+    word = lambda: "w%d" % rng.integers(10**9)
+    template = [word() for _ in range(120)]
+    pages = [" ".join(template + [word() for _ in range(40)]) for _ in range(300)]  # similarity about 0.58
+    base = [word() for _ in range(150)]
+    copies = [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(0, 150)]  # one word of 150 changed
+    df = spark.createDataFrame(list(enumerate(pages + copies)), "doc_id long, text string")
+    kept = {r.doc_id for r in overlap.one_of_each(df).collect()}
+    assert kept == set(range(300)) | {300}

@@ -135,13 +135,22 @@ def test_stage_links_all_similar_texts(spark):
     for _ in texts:
         comp = [min(comp[j] for j in range(len(texts)) if near(i, j)) for i in range(len(texts))]
     want = {i for i, c in enumerate(comp) if i == c}
-    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()} == want
     assert want < {r.doc_id for r in simhash.one_of_each(df).collect()}
+    # the stage takes only links of similar sets, whatever the fingerprints say
+    alike = lambda i, j: sets[i] == sets[j] or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) > 0
+    own = list(range(len(texts)))
+    for _ in texts:
+        own = [min(own[j] for j in range(len(texts)) if alike(i, j)) for i in range(len(texts))]
+    kept = {i for i, c in enumerate(own) if i == c}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()} == kept
     scanned = overlap.stage(overlap.scan(df))
     for limit, chunk in ((10_000, 256), (1, 256), (4, 16)):  # pairs, groups in one block and in many
         found = overlap.links(df, scanned, limit, chunk)
         named = overlap._named(scanned.select("doc_id", "fp"), 3, 6, found).collect()
         assert {r.doc_id: r.component_id for r in named} == dict(enumerate(comp))
+        linked, _ = overlap.class_links(df, scanned, limit, chunk, overlap._proposed(scanned, 3, 6))
+        whole = overlap.name_components(scanned.select("doc_id", F.coalesce("cls", F.lit(0)).alias("fp")), linked).collect()
+        assert {r.doc_id: r.component_id for r in whole} == dict(enumerate(own))
     assert corpus_pipeline.near_duplicate_stage(spark, df.limit(0), "").count() == 0
 
 

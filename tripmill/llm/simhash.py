@@ -170,11 +170,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, blocks:
 
 
 def _named(fps: DataFrame, distance: int, blocks: int, more: DataFrame | None = None) -> DataFrame:
-    """near_duplicates of stored fingerprints, linked further by more (a, b). Classes of more
+    """near_duplicates of stored fingerprints, linked further by more (a, b)."""
+    near = links(fps.select("fp").distinct(), distance, blocks)
+    return name_components(fps, near if more is None else near.union(more))
+
+
+def name_components(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of stored rows (doc_id, fp) over links of fp. Classes of more
     than HOT_CLASS documents meet their names salted."""
     classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
-    near = links(classes.select("fp"), distance, blocks)
-    roots = components(near if more is None else near.union(more))
+    roots = components(edges)
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("low").alias("least"))
     label = linked.join(least, "root").select("fp", "least")
