@@ -148,6 +148,8 @@ def test_stage_links_all_similar_texts(spark):
         found = overlap.links(df, scanned, limit, chunk)
         named = overlap._named(scanned.select("doc_id", "fp"), 3, 6, found).collect()
         assert {r.doc_id: r.component_id for r in named} == dict(enumerate(comp))
+        if limit != 4:
+            continue
         linked, _ = overlap.class_links(df, scanned, limit, chunk, overlap._proposed(scanned, 3, 6))
         whole = overlap.name_components(scanned.select("doc_id", F.coalesce("cls", F.lit(0)).alias("fp")), linked).collect()
         assert {r.doc_id: r.component_id for r in whole} == dict(enumerate(own))
