@@ -27,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, small_batches, tidy
@@ -141,6 +141,38 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
     )
 
 
+#: Deltas that a text is streamed in at most.
+PIECES = 16
+
+
+def conversation_log(conversations: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as the log of how such a conversation comes about: by
+    a hash of the row, a text is posted whole; streamed in deltas; posted as a draft and
+    edited; or streamed as a draft with a follow-up, then regenerated and streamed anew.
+    Folding the log gives the rows in the order of turn, role and text; null texts count as
+    empty, repeated rows each have their own message."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("n"), F.pmod(F.xxhash64("conv_id", "turn", "role"), F.lit(4)).alias("how"))
+    own, none = F.col("n").cast("string"), F.lit(None).cast("string")
+    event = lambda kind, text, message=own, role=F.col("role"): F.struct(F.lit(kind).alias("kind"), message.alias("message"), role.alias("role"), text.alias("text"))
+
+    def streamed(text: Column, opens: bool) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.length(text) / PIECES)).cast("int")
+        pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size).cast("int") - 1, F.lit(0)))
+        return F.transform(pieces, lambda i: event("delta", F.substring(text, i * size + 1, size), role=F.when((i == 0) & F.lit(opens), F.col("role"))))
+
+    draft = F.concat(F.lit("draft: "), F.reverse(F.substring("text", 1, 200)))
+    again = F.concat(streamed(draft, True), F.array(event("message", F.lit("and then?"), F.concat(own, F.lit("+")), F.lit("user")), event("regenerate", none)), streamed(F.col("text"), False))
+    told = (
+        F.when(F.col("how") == 0, F.array(event("message", F.col("text")))).when(F.col("how") == 1, streamed(F.col("text"), True))
+        .when(F.col("how") == 2, F.array(event("message", draft), event("edit", F.col("text")))).otherwise(again)
+    )
+    # a row has 2 * PIECES + 2 events at most
+    out = rows.select("conv_id", "n", F.posexplode(told).alias("k", "e"))
+    return out.select("conv_id", (F.col("n") * 64 + F.col("k")).alias("seq"), "e.kind", "e.message", "e.role", "e.text")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """What the output says when it is read back: turns and the text under the mask."""
 

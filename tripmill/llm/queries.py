@@ -53,7 +53,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string"
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(tricky)
-    return chat.digests(chat.format_chats(chat.conversation_events(rows)))
+    return chat.digests(chat.format_chats(chat.conversation_log(rows)))
 
 
 OP4_SQL = r"""
