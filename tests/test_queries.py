@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from tripmill.jobs import cleaning, contracts, evaluation, fits, issues, ledger, model_chains, persons, queries, records, survey, units  # noqa: F401
+from tripmill.jobs import cleaning, contracts, evaluation, fits, issues, ledger, model_chains, model_tables, persons, queries, records, survey, units  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="tables are missing")

@@ -126,3 +126,24 @@ def compare_tables(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Seq
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("rows_differing"), F.col(f"d_{c}").cast("double").alias("max_abs_diff")) for c in columns]))
     status = F.when(F.col("rows_differing") == 0, "identical").when(F.col("max_abs_diff") <= tolerance, "within").otherwise("different")
     return wide.select(rows.alias("r")).select("r.*").withColumn("status", status)
+
+
+def flags_to_columns(df: DataFrame, flags: str, codes: Sequence[str]) -> DataFrame:
+    """df with a boolean column for each code of a ';'-joined list, which goes; a null list has
+    none."""
+    held = F.split(F.coalesce(F.col(flags), F.lit("")), ";")
+    return df.withColumns({c: F.array_contains(held, c) for c in codes}).drop(flags)
+
+
+def drop_inherited(child: DataFrame, parent: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """child without the columns that repeat its parent's; a child row without a parent, or
+    with another value than its parent's, is an error that names the columns."""
+    told = parent.select(key, F.struct(*columns).alias("_parent"), F.lit(True).alias("_there"))
+    joined = child.join(told, key, "left")
+    wrong = joined.agg(
+        F.count(F.when(F.col("_there").isNull(), 1)).alias("no_parent"),
+        *[F.count(F.when(F.col("_there") & ~F.col(c).eqNullSafe(F.col(f"_parent.{c}")), 1)).alias(c) for c in columns],
+    ).first().asDict()
+    if any(wrong.values()):
+        raise ValueError(f"child rows that differ from their {key}: { {k: n for k, n in wrong.items() if n} }")
+    return child.drop(*columns)

@@ -65,3 +65,31 @@ def normalize_weights(df: DataFrame, weight: str) -> DataFrame:
     stats = df.agg(F.avg(weight).alias("_mean"), F.sum(F.col(weight).isNull().cast("int")).alias("_nulls"))
     checked = stats.withColumn("_mean", F.when(F.col("_nulls") > 0, F.raise_error(F.lit(f"{weight} has NULLs")).cast("double")).otherwise(F.col("_mean")))
     return df.crossJoin(F.broadcast(checked.select("_mean"))).withColumn(weight, F.col(weight) / F.col("_mean")).drop("_mean")
+
+
+def map_variable(
+    df: DataFrame, column: str, name: str, mapping: dict, divide: int | None = None, otherwise=None, domain: Sequence = (), missing: str | None = None
+) -> DataFrame:
+    """df with `name`: the level of a code, floor-divided first if asked. Another code of the
+    domain takes the level `otherwise`; null takes the missing label (stays null without
+    one); a code outside mapping and domain is an error that names it."""
+    code = F.floor(F.col(column) / divide) if divide else F.col(column)
+    known = [*mapping, *(domain if otherwise is not None else ())]
+    odd = df.where(code.isNotNull() & ~code.isin(*known)).select(code.alias("c")).distinct().limit(10).collect()
+    if odd:
+        raise ValueError(f"{column}: codes outside the domain {sorted(str(r[0]) for r in odd)}")
+    level = F.when(code.isNull(), F.lit(missing))
+    for value, to in mapping.items():
+        level = level.when(code == value, F.lit(to))
+    return df.withColumn(name, level.otherwise(F.lit(otherwise)))
+
+
+def assert_known_levels(df: DataFrame, levels: dict[str, Sequence[str]], most: int = 5) -> DataFrame:
+    """df as it is; a value outside a column's declared levels is an error that names the
+    columns and up to `most` values each."""
+    told = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.when(~F.col(c).isin(*v), F.col(c).cast("string")).alias("v")) for c, v in levels.items()]))
+    odd = df.select(told.alias("x")).where("x.v IS NOT NULL").select("x.*").distinct()
+    found = odd.groupBy("c").agg(F.slice(F.array_sort(F.collect_set("v")), 1, most).alias("v")).collect()
+    if found:
+        raise ValueError(f"undeclared levels: { {r['c']: r['v'] for r in found} }")
+    return df

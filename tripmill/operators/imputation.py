@@ -202,3 +202,14 @@ def pipeline_two_levels(
     for n, columns in given.items():
         value = F.when(F.col("members") == n, pick([F.col(c) for c in columns], labels, u)).otherwise(value)
     return out.select(household, "draw", "members", value.alias(name))
+
+
+def usage_details(df: DataFrame, model: str, weight: str, confidence: str, features: str) -> DataFrame:
+    """(model, features, rows, total, share, low, mean, high): by model used and set of
+    marginalised features, the rows, their weight and its share, and the least, weighted
+    mean and greatest confidence."""
+    w = F.col(weight)
+    out = df.groupBy(model, features).agg(
+        F.count("*").alias("rows"), F.sum(w).alias("total"), F.min(confidence).alias("low"), (F.sum(w * F.col(confidence)) / F.sum(w)).alias("mean"), F.max(confidence).alias("high")
+    )
+    return out.crossJoin(F.broadcast(df.agg(F.sum(w).alias("whole")))).withColumn("share", F.col("total") / F.col("whole")).drop("whole")

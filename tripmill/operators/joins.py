@@ -36,14 +36,14 @@ def household_head(persons: DataFrame, hh: str, person: str, is_head: str, age:
 def other_members(persons: DataFrame, hh: str, value: str) -> DataFrame:
     """Sum and maximum of value over the other members, by household totals and the two
     largest values instead of a self-join."""
-    w = Window.partitionBy(hh)
-    top = F.slice(F.sort_array(F.collect_list(value).over(w), asc=False), 1, 2)
+    top = F.slice(F.sort_array(F.collect_list(value), asc=False), 1, 2)
+    each = persons.groupBy(F.col(hh).alias("_hh")).agg(top.alias("_top"), F.sum(value).alias("_sum"))
     others = F.when(F.col(value).eqNullSafe(F.col("_top")[0]), F.try_element_at("_top", F.lit(2))).otherwise(F.col("_top")[0])
     return (
-        persons.withColumn("_top", top)
-        .withColumn("others_sum", F.coalesce(F.sum(value).over(w), F.lit(0)) - F.coalesce(F.col(value), F.lit(0)))
+        persons.join(each, F.col(hh).eqNullSafe(F.col("_hh")), "left")
+        .withColumn("others_sum", F.coalesce("_sum", F.lit(0)) - F.coalesce(F.col(value), F.lit(0)))
         .withColumn("others_max", others)
-        .drop("_top")
+        .drop("_hh", "_top", "_sum")
     )
 
 
@@ -93,3 +93,30 @@ def fallback_join(units: DataFrame, stats: DataFrame, key: str, parents: DataFra
     above = parents.select(parent_key, F.col(value).alias("_above"))
     out = units.join(own, key, "left").join(above, parent_key, "left")
     return out.withColumn(value, F.coalesce("_own", F.when(F.expr(allowed), F.col("_above")))).drop("_own", "_above")
+
+
+def diary_twins(chains: DataFrame, group: Sequence[str], hh: str, person: str, trip: str, start: str, fields: Sequence[str], max_offset: int = 10, min_trips: int = 2) -> DataFrame:
+    """(group, person, twins): for each person with any, how many persons of other households
+    have the same ordered diary within max_offset minutes.
+
+    No pairs of persons are made: persons of equal diary and starts are one class, classes
+    that are near are joined, and a person's twins are the members of these classes less
+    those of the own household. A common diary costs as many pairs as it has distinct starts.
+    """
+    items = F.array_sort(F.collect_list(F.struct(trip, F.col(start).alias("_s"), *fields)))
+    one = chains.groupBy(*group, F.col(hh).alias("h"), F.col(person).alias("p")).agg(items.alias("_t")).where(F.size("_t") >= min_trips)
+    one = one.select(
+        *group, "h", "p", F.transform("_t", lambda t: t["_s"].cast("long")).alias("s"),
+        F.sha2(F.to_json(F.transform("_t", lambda t: F.struct(*[t[f].alias(f) for f in fields]))), 256).alias("sig"),
+    ).where(F.forall("s", lambda x: x.isNotNull()))
+    key = [*group, "sig"]
+    per = one.groupBy(*key, "s", "h").agg(F.count("*").alias("m"))
+    classes = per.groupBy(*key, "s").agg(F.sum("m").alias("n")).withColumn("band", F.floor(F.get("s", F.lit(0)) / (max_offset + 1)))
+    near = classes.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))).withColumnsRenamed({"s": "t", "n": "theirs"})
+    offset = F.array_max(F.zip_with("s", "t", lambda x, y: F.abs(x - y)))
+    pairs = classes.join(near, [*key, "band"]).where(offset <= max_offset).select(*key, "s", "t", "theirs")
+    whole = pairs.groupBy(*key, "s").agg(F.sum("theirs").alias("whole"))
+    mine = per.select(*key, "s", "h").join(pairs.select(*key, "s", "t"), [*key, "s"]).join(per.select(*key, F.col("s").alias("t"), "h", "m"), [*key, "t", "h"])
+    mine = mine.groupBy(*key, "s", "h").agg(F.sum("m").alias("own"))
+    out = one.join(whole, [*key, "s"]).join(mine, [*key, "s", "h"]).withColumn("twins", F.col("whole") - F.col("own"))
+    return out.where("twins > 0").select(*group, F.col("p").alias(person), "twins")

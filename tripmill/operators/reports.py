@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import medians
+
 
 def flag_repeated_diaries(persons: DataFrame, pairs: DataFrame, keys: Sequence[str], sides: Sequence[Sequence[str]]) -> DataFrame:
     """persons plus repeated_diary: whether any pair holds the person on either side."""
@@ -30,8 +32,9 @@ def weight_consistency(child: DataFrame, parent: DataFrame, key: str, child_weig
     joined = child.join(parent.select(key, parent_weight, group), key)
     per = joined.groupBy(group, key).agg((F.count_distinct(child_weight) > 1).cast("long").alias("varies"))
     ratio = (F.col(child_weight) / F.col(parent_weight)).cast("double")
-    sums = joined.groupBy(group).agg(F.median(ratio).alias("ratio"), F.sum(child_weight).cast("double").alias("child_sum"), F.sum(parent_weight).cast("double").alias("parent_sum"))
-    return per.groupBy(group).agg(F.count("*").alias("parents"), F.sum("varies").alias("varying")).join(sums, group)
+    middle = medians(joined.select(group, ratio.alias("_ratio")), [group], "_ratio").withColumnRenamed("median", "ratio")
+    sums = joined.groupBy(group).agg(F.sum(child_weight).cast("double").alias("child_sum"), F.sum(parent_weight).cast("double").alias("parent_sum"))
+    return per.groupBy(group).agg(F.count("*").alias("parents"), F.sum("varies").alias("varying")).join(middle, group, "left").join(sums, group)
 
 
 def compare_profiles(df: DataFrame, columns: Sequence[str], unknown: Column, weight: str) -> DataFrame:

@@ -119,12 +119,36 @@ def feature_missingness(df: DataFrame, columns: Sequence[str], unknown: str, wei
     return wide.select(rows.alias("r")).select("r.*")
 
 
+def medians(df: DataFrame, by: Sequence[str], value: str, cells: int = 1024) -> DataFrame:
+    """(by, median): exact medians of groups of any size. Values are counted first; running
+    counts over cells of a group's range find the cells of the two middle values, and only
+    those are put in order."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ends = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    d = _beside(counts, ends, by)
+    place = F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * cells)
+    d = d.withColumn("_cell", F.least(F.coalesce(place, F.lit(0)), F.lit(cells - 1)))
+    sums = d.groupBy(*by, "_cell").agg(F.sum("_n").alias("_c"), F.first("_all").alias("_all"))
+    run = Window.partitionBy(*by).orderBy("_cell")
+    sums = sums.withColumn("_to", F.sum("_c").over(run)).withColumn("_from", F.col("_to") - F.col("_c"))
+    wanted = F.explode(F.array(F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1))
+    held = sums.withColumn("_k", wanted).where((F.col("_from") < F.col("_k")) & (F.col("_k") <= F.col("_to")))
+    held = held.groupBy(*by, "_cell").agg(F.first("_from").alias("_from"), F.collect_list("_k").alias("_ks"))
+    inside = _beside(d.drop("_all"), held, [*by, "_cell"]).where("_ks IS NOT NULL")
+    at = F.col("_from") + F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy("_v"))
+    inside = inside.withColumn("_at", at).withColumn("_k", F.explode("_ks")).where((F.col("_at") - F.col("_n") < F.col("_k")) & (F.col("_k") <= F.col("_at")))
+    return inside.groupBy(*by).agg(F.avg("_v").alias("median"))
+
+
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, distinct, low, median, high, nulls) of numeric columns."""
-    aggs = [x for c in columns for x in (F.count_distinct(c).alias(f"d_{c}"), F.min(c).cast("double").alias(f"l_{c}"), F.median(c).cast("double").alias(f"m_{c}"), F.max(c).cast("double").alias(f"h_{c}"), F.sum(F.col(c).isNull().cast("long")).alias(f"n_{c}"))]
-    names = {"distinct": "d", "low": "l", "median": "m", "high": "h", "nulls": "n"}
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{k}_{c}").alias(n) for n, k in names.items()]) for c in columns]))
-    return df.agg(*aggs).select(rows.alias("r")).select("r.*")
+    told = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns]))
+    long = df.select(told.alias("t")).select("t.*")
+    counts = long.groupBy("column", "x").agg(F.count("*").alias("n"))
+    facts = counts.groupBy("column").agg(
+        F.count("x").alias("distinct"), F.min("x").alias("low"), F.max("x").alias("high"), F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col("n"))), F.lit(0)).alias("nulls")
+    )
+    return facts.join(medians(long, ["column"], "x"), "column", "left").select("column", "distinct", "low", "median", "high", "nulls")
 
 
 def _beside(df: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
