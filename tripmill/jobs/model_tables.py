@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tripmill.operators import clean, joins, model_tables
@@ -210,3 +212,56 @@ def imputation_usage_details(spark, folder):
         (0.5 + (key % 50) / 100.0).alias("c"),
     )
     return imputation.usage_details(o, "arm", "w", "c", "features").select("arm", "features", "rows", "total", *[F.round(c, 6).alias(c) for c in ("share", "low", "mean", "high")])
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS priority, round(o_totalprice::DOUBLE, 3) AS price FROM orders")
+def write_tables_read_survey_csv(spark, folder):
+    """A table written as CSV with fixed decimals, then read with its schema and renamed."""
+    from tripmill.operators import contract
+    from tripmill.sources.staging import shared_dir
+    from tripmill.sources.tables import read_survey_csv
+
+    o = read(spark, folder, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    place = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    contract.write_tables({"orders": o}, place, "csv", 3)
+    names = {"o_orderkey": "id", "o_orderpriority": "priority", "o_totalprice": "price", "absent": "x"}
+    return read_survey_csv(spark, f"{place}/orders", "o_orderkey long, o_orderpriority string, o_totalprice double", names)
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderstatus END AS before, o_orderpriority AS after FROM orders")
+def read_decisions(spark, folder):
+    """Decisions written as gzipped text and read: keys are numbers, empty text stays text."""
+    from tripmill.operators import contract
+    from tripmill.sources.staging import shared_dir
+
+    key = F.col("o_orderkey")
+    d = read(spark, folder, "orders").select("o_orderkey", "o_custkey", F.when(key % 4 == 0, "").otherwise(F.col("o_orderstatus")).alias("before"), F.col("o_orderpriority").alias("after"))
+    place = f"{shared_dir(spark)}/decisions-{uuid.uuid4().hex}"
+    d.write.option("header", True).option("compression", "gzip").option("emptyValue", "").csv(place)
+    return contract.read_decisions(spark, place, ["o_orderkey", "o_custkey"])
+
+
+@query()
+def read_start_times(spark, folder):
+    """Hour edits and moves to the arrival, twice."""
+    from tripmill.operators import timing
+
+    d = diary(spark, folder)
+    back = F.when((F.col("event_id") % 13 == 0) & (F.col("start") >= 720), F.col("start") - 720).otherwise(F.col("start"))
+    out = timing.read_start_times(d.withColumn("start", back), DAY, ["purchase"], BACK, ["purchase"], ["view"])
+    return out.select(*DAY, "trip", "start", "edited", "slid")
+
+
+@query()
+def fit_arms(spark, folder):
+    """A fitted model for each arm, and the rows each arm scores."""
+    from tripmill.operators import imputation, model_chain, models
+
+    o, key = read(spark, folder, "orders"), F.col("o_orderkey")
+    o = o.select("o_orderkey", F.when(key % 3 != 0, F.col("o_orderpriority")).alias("pri"), F.col("o_orderstatus").alias("status"), (F.col("o_totalprice").cast("double") / 1000).alias("kilo"), (key % 2).alias("y"), F.lit(1.0).alias("w"))
+    statuses, priorities = ["F", "O", "P"], ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    arms = {"full": ("logistic", {"pri": priorities, "status": statuses}, ["kilo"]), "short": ("forest", {"status": statuses}, ["kilo"])}
+    fitted = models.fit_arms(o, arms, F.col("y"), "w", 2)
+    placed = imputation.assign_arms(o, [("full", ["pri"]), ("short", ["status"])])
+    parts = [model_chain.fitted_scorer(fitted[a], c, n)(placed.where(F.col("arm") == a)).select("o_orderkey", "arm", F.round(F.get("p", F.lit(1)), 6).alias("p")) for a, (_, c, n) in arms.items()]
+    return parts[0].unionByName(parts[1])

@@ -159,6 +159,7 @@ def day_wraps(spark, folder):
 @query()
 def slide_to_arrival(spark, folder):
     d = chains.day_wraps(_nights(spark, folder), DAY, ["purchase"], BACK, ["purchase"])
+    d = d.select("person", "day", "trip", "start", "minutes", "motive", "wraps")
     return chains.slide_to_arrival(d, DAY, ["purchase"]).select("person", "day", "trip", "start", "moved_start")
 
 
