@@ -39,3 +39,11 @@ def test_query_equals_sql(spark, duck, name):
     assert len(mine) == len(rows)
     wrong = [(a, b) for a, b in zip(mine, rows) if not all(map(same, a, b))]
     assert not wrong, wrong[:3]
+
+
+def test_companions_have_ids_of_their_own(spark):
+    """Persons of 1000 and more, as the larger tables have them, must not be taken for a companion."""
+    for made in (persons._party, issues._coded):
+        for folder in (FOLDER, "/root/testdata/sf0.1"):
+            if Path(folder).is_dir():
+                assert made(spark, folder).groupBy("hh", "day", "person", "trip").count().where("count > 1").count() == 0

@@ -12,13 +12,13 @@ LABELS = issues.Labels(BACK, ["purchase"], ["purchase"], ["click"], "view")
 HOUSE = ["hh", "day"]
 
 # The diary with mirrored trips that the capture filled in, starts at 23:01, nights, and half of
-# the people's companions, some of them twelve hours off.
+# the people's companions (numbered -1 - person), some of them twelve hours off.
 CODED = """, b AS (SELECT *, lag(origin) OVER w AS po, lag(start) OVER w AS ps, lag(minutes) OVER w AS pm, event_id % 9 = 0 AND lag(trip) OVER w IS NOT NULL AS mirrored
   FROM diary WINDOW w AS (PARTITION BY person, day ORDER BY trip)),
 m AS (SELECT hh, person, day, trip, event_id, home, motive, CASE WHEN mirrored THEN po ELSE dest END AS dest, origin, CASE WHEN mirrored THEN pm ELSE minutes END AS minutes,
   CASE WHEN mirrored THEN ps + CASE WHEN event_id % 2 = 0 THEN 61 ELSE 301 END WHEN event_id % 23 = 0 THEN 1381 WHEN event_id % 5 = 0 AND start >= 1080 THEN start - 1080 ELSE start END AS start,
   CASE WHEN mirrored THEN (event_id - 1) % 2 ELSE event_id % 2 END AS mode, event_id % 17 = 0 AS edited FROM b),
-two AS (SELECT *, 0 AS shadow FROM m UNION ALL SELECT * REPLACE (person + 1000 AS person, start + event_id % 4 * 9 + CASE WHEN event_id % 10 = 0 THEN 720 ELSE 0 END AS start), 1 FROM m WHERE person % 2 = 0),
+two AS (SELECT *, 0 AS shadow FROM m UNION ALL SELECT * REPLACE (-1 - person AS person, start + event_id % 4 * 9 + CASE WHEN event_id % 10 = 0 THEN 720 ELSE 0 END AS start), 1 FROM m WHERE person % 2 = 0),
 coded AS (SELECT *, CASE WHEN dest = home THEN CASE WHEN event_id % 4 = 0 THEN 'shop' ELSE 'home' END WHEN event_id % 6 = 0 THEN 'home' ELSE 'place' END AS kind,
   CASE WHEN person % 3 = 0 THEN 'shop' ELSE 'home' END AS answer FROM two)"""
 V = "(PARTITION BY hh, day, person ORDER BY trip)"
@@ -96,7 +96,7 @@ def _coded(spark, folder):
         F.when(F.col("_m"), (event - 1) % 2).otherwise(event % 2).alias("mode"), (event % 17 == 0).alias("edited"), F.lit(0).alias("shadow"),
     )
     late = F.col("start") + event % 4 * 9 + F.when(event % 10 == 0, 720).otherwise(0)
-    two = m.unionByName(m.where("person % 2 = 0").withColumns({"person": F.col("person") + 1000, "start": late, "shadow": F.lit(1)}))
+    two = m.unionByName(m.where("person % 2 = 0").withColumns({"person": -1 - F.col("person"), "start": late, "shadow": F.lit(1)}))
     kind = F.when(F.col("dest") == F.col("home"), F.when(event % 4 == 0, "shop").otherwise("home")).when(event % 6 == 0, "home").otherwise("place")
     return two.withColumns({"kind": kind, "answer": F.when(F.col("person") % 3 == 0, "shop").otherwise("home")})
 
