@@ -62,9 +62,13 @@ def _groups(pool: DataFrame, same: dict[str, float], numeric: dict[str, float])
 def _visits(kinds: DataFrame, table: pd.DataFrame, same: dict[str, float], numeric: dict[str, float], k: int, further: bool) -> DataFrame:
     """(features, _g, _salt): the groups that each target cell must look at. First those of
     the least bounds that together hold k donors; further, the others whose bound is not
-    above `_far`, the k-th distance found in the first."""
-    told = kinds.sparkSession.sparkContext.broadcast(table)
-    features = [f"_{c}" for c in (*same, *numeric)]
+    above `_far`, the k-th distance found in the first, which goes along."""
+    context = kinds.sparkSession.sparkContext
+    told = context.broadcast(table)
+    # few rows, much work each: a number of tasks that is not coalesced
+    tasks = max(context.defaultParallelism, int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = kinds.repartition(tasks, *[f"_{c}" for c in (*same, *numeric)])
+    features = [f"_{c}" for c in (*same, *numeric)] + (["_far"] if further else [])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = told.value
@@ -90,7 +94,7 @@ def _visits(kinds: DataFrame, table: pd.DataFrame, same: dict[str, float], numer
                 salt = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
                 yield q.iloc[row][features].assign(_g=ids[group], _salt=salt)
 
-    schema = ", ".join([*(f"`_{c}` long" for c in same), *(f"`_{c}` double" for c in numeric), "_g long, _salt long"])
+    schema = ", ".join([*(f"`_{c}` long" for c in same), *(f"`_{c}` double" for c in numeric), *(["_far double"] if further else []), "_g long, _salt long"])
     return kinds.mapInPandas(run, schema)
 
 
@@ -108,8 +112,8 @@ def nearest_donors(
     ranges bound the distance to all of it from below. A target cell first looks at the
     groups of the least bounds that hold k donors; the k-th distance among them is an
     upper limit, so only groups whose bound is not above it are looked at further. Large
-    groups are dealt over tasks. report, if given, receives the pairs compared and those
-    that there are (one more pass).
+    groups are dealt over tasks. Only pairs within that limit are put in order. report, if
+    given, receives the pairs compared, those put in order and those that there are (more passes).
     """
     names = [*same, *numeric]
 
@@ -134,7 +138,10 @@ def nearest_donors(
     best = Window.partitionBy(*features).orderBy("_far", "_who")
 
     def pairs(visits: DataFrame) -> DataFrame:
-        return visits.join(sides, ["_g", "_salt"]).select(*features, F.col("_d").alias("_who"), F.round(far, 9).alias("_far"))
+        met = visits.join(sides, ["_g", "_salt"]).withColumn("_is", F.round(far, 9))
+        # k donors are not above the limit, so whatever is above it cannot be among the nearest
+        met = met.where(F.col("_is") <= F.col("_far")) if "_far" in visits.columns else met
+        return met.select(*features, F.col("_d").alias("_who"), F.col("_is").alias("_far"))
 
     def nearest(found: DataFrame) -> DataFrame:
         return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
@@ -143,8 +150,9 @@ def nearest_donors(
     edge = near.groupBy(*features).agg(F.when(F.count("*") >= k, F.max("_far")).otherwise(F.lit(float("inf"))).alias("_far"))
     more = _visits(edge, table, same, numeric, k, True)
     if report is not None:
-        seen = [pairs(v).count() for v in (_visits(kinds, table, same, numeric, k, False), more)]
-        report |= {"compared": sum(seen), "all": kinds.count() * pool.count(), "groups": len(table)}
+        early = _visits(kinds, table, same, numeric, k, False)
+        seen = [v.join(sides, ["_g", "_salt"]).count() for v in (early, more)]
+        report |= {"compared": sum(seen), "ordered": pairs(early).count() + pairs(more).count(), "all": kinds.count() * pool.count(), "groups": len(table)}
     found = nearest(near.unionByName(pairs(more)))
     return asked.join(found, features).select(F.col("_t").alias(key), F.col("_who").alias(donor), F.col("_far").alias("distance"))
 
