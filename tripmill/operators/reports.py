@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripmill.sources.staging import spread
+
 from .stats import medians
 
 
@@ -29,12 +31,16 @@ def weighted_mix(df: DataFrame, key: str, size: str, sizes: Sequence, sector: st
 def weight_consistency(child: DataFrame, parent: DataFrame, key: str, child_weight: str, parent_weight: str, group: str) -> DataFrame:
     """Per group of parents: parents, those whose children differ in weight, the median ratio
     of a child's weight to its parent's, and both sums over children."""
-    joined = child.join(parent.select(key, parent_weight, group), key)
-    per = joined.groupBy(group, key).agg((F.count_distinct(child_weight) > 1).cast("long").alias("varies"))
+    joined = spread(child.select(key, child_weight), key).join(parent.select(key, parent_weight, group), key)
+    facts = joined.groupBy(group, key).agg(
+        (F.coalesce(F.min(child_weight) < F.max(child_weight), F.lit(False))).cast("long").alias("varies"), F.sum(child_weight).alias("_c"), F.sum(parent_weight).alias("_p")
+    )
+    out = facts.groupBy(group).agg(
+        F.count("*").alias("parents"), F.coalesce(F.sum("varies"), F.lit(0)).alias("varying"), F.sum("_c").cast("double").alias("child_sum"), F.sum("_p").cast("double").alias("parent_sum")
+    )
     ratio = (F.col(child_weight) / F.col(parent_weight)).cast("double")
     middle = medians(joined.select(group, ratio.alias("_ratio")), [group], "_ratio").withColumnRenamed("median", "ratio")
-    sums = joined.groupBy(group).agg(F.sum(child_weight).cast("double").alias("child_sum"), F.sum(parent_weight).cast("double").alias("parent_sum"))
-    return per.groupBy(group).agg(F.count("*").alias("parents"), F.sum("varies").alias("varying")).join(middle, group, "left").join(sums, group)
+    return out.join(middle, group, "left").select(group, "parents", "varying", "ratio", "child_sum", "parent_sum").where(F.col(group).isNotNull())
 
 
 def compare_profiles(df: DataFrame, columns: Sequence[str], unknown: Column, weight: str) -> DataFrame:
