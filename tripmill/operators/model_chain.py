@@ -25,6 +25,8 @@ from .models import encode
 Scorer = Callable[[DataFrame], DataFrame]
 #: Copies of a scored combination, so that a combination that most rows share is dealt over tasks.
 SALTS = 8
+#: Fixed value: scored combinations up to which they are sent to every task.
+FEW = 50_000
 
 
 @dataclass(frozen=True)
@@ -96,20 +98,46 @@ def fitted_scorer(model, categorical: dict[str, Sequence[str]], numeric: Sequenc
     return score
 
 
-def score_distinct(df: DataFrame, features: Sequence[str], scorers: Sequence[Scorer], which: Column | None = None) -> DataFrame:
-    """df with `p`: each distinct combination of features (and model) is scored once."""
-    n = len(scorers)
-    d = df.withColumn("_m", F.lit(0) if n == 1 or which is None else F.pmod(which, F.lit(n)).cast("int"))
-    combos = d.select("_m", *features).distinct()
-    if n > 1:
+def _combinations(d: DataFrame, names: Sequence[str], scorers: Sequence[Scorer]) -> DataFrame:
+    """(_f0, _f1, ..., p): the distinct values of names (the model's number first), scored."""
+    combos = d.select(*names).distinct()
+    if len(scorers) > 1:
         combos = reduce(DataFrame.unionByName, [s(combos.where(F.col("_m") == k)) for k, s in enumerate(scorers)])
     else:
         combos = scorers[0](combos)
-    names = ["_m", *features]
-    scored = combos.select(*[F.col(c).alias(f"_f{k}") for k, c in enumerate(names)], "p", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt2"))
-    d = d.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_f{k}")) for k, c in enumerate(names)])
-    return d.join(scored, same & (F.col("_salt") == F.col("_salt2"))).drop("_m", "_salt", "_salt2", *[f"_f{k}" for k in range(len(names))])
+    return combos.select(*[F.col(c).alias(f"_f{k}") for k, c in enumerate(names)], "p")
+
+
+def _numbered(df: DataFrame, scorers: Sequence[Scorer], which: Column | None) -> DataFrame:
+    n = len(scorers)
+    return df.withColumn("_m", F.lit(0) if n == 1 or which is None else F.pmod(which, F.lit(n)).cast("int"))
+
+
+def _same(names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_f{k}")) for k, c in enumerate(names)])
+
+
+def _salted(d: DataFrame, combos: DataFrame, names: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    scored = combos.withColumn("_salt2", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    d = d.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int"))
+    return d.join(scored, _same(names) & (F.col("_salt") == F.col("_salt2"))).select(*columns, "p")
+
+
+def score_distinct(df: DataFrame, features: Sequence[str], scorers: Sequence[Scorer], which: Column | None = None) -> DataFrame:
+    """df with `p`: each distinct combination of features (and model) is scored once."""
+    d, names = _numbered(df, scorers, which), ["_m", *features]
+    return _salted(d, _combinations(d, names, scorers), names, df.columns)
+
+
+def score_written(df: DataFrame, features: Sequence[str], scorers: Sequence[Scorer], which: Column | None = None, few: int = FEW) -> DataFrame:
+    """score_distinct() over scores that are written first. No more than `few` of them are sent
+    to every task, so that the rows stay where they are and nothing else is written; if
+    there are more, rows and scores are dealt by salt and the result is written."""
+    d, names = _numbered(df, scorers, which), ["_m", *features]
+    combos = stage(_combinations(d, names, scorers))
+    if combos.limit(few + 1).count() > few:
+        return stage(_salted(d, combos, names, df.columns))
+    return d.join(F.broadcast(combos), _same(names)).select(*df.columns, "p")
 
 
 def _level(classes: Sequence[str], table: dict | None, value: Column) -> Column:
@@ -156,7 +184,8 @@ def run_chain(
     enumerate: a row is spread over the classes of every step, weights multiplied, zero
     weights dropped. draws: every draw takes a class by a reproducible uniform number of
     (key, draw, step, seed). given (draws only): (key, completion, columns) from outside,
-    one row for each draw, read as features. Completions are written after each step.
+    one row for each draw, read as features. The scores of each step are written;
+    completions are not, unless a step has too many scores to send to all tasks.
     """
     if propagation not in ("enumerate", "draws"):
         raise ValueError(f"no propagation {propagation}")
@@ -171,7 +200,7 @@ def run_chain(
         every = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long")))
         out = frame.withColumn("completion", every).withColumn("weight", F.lit(1.0 / draws))
         if given is not None:
-            out = out.join(given, [key, "completion"])
+            out = stage(out.join(given, [key, "completion"]))
     elif given is not None or any(len(s.scorers) > 1 for s in known.values()):
         raise ValueError("given columns and several models vary by draw: propagation must be draws")
     else:
@@ -189,8 +218,8 @@ def run_chain(
             grid = frame.withColumn(feature, F.explode(F.array(*map(F.lit, levels))))
             scored = score_distinct(grid, step.features, step.scorers)
             conditionals[step.name] = scored.select(key, F.col(feature).alias("level"), _one_hot(step, F.col("p")).alias("p"))
-        scored = score_distinct(out.withColumns(filled), step.features, step.scorers, F.col("completion") - 1)
-        scored = stage(scored.withColumn("p", _one_hot(step, F.col("p"))))
+        scored = score_written(out.withColumns(filled), step.features, step.scorers, F.col("completion") - 1)
+        scored = scored.withColumn("p", _one_hot(step, F.col("p")))
         marginals[step.name] = _marginal(scored, key, step.classes)
         if propagation == "draws":
             u = uniform(F.col(key), F.col("completion"), F.lit(number), F.lit(seed))
