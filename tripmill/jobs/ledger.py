@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripmill.operators import ledger
+from tripmill.sources.staging import stage
 from tripmill.sources.tables import read
 
 from .queries import query
@@ -52,13 +51,15 @@ res AS (SELECT person, trip, field, before, after, told AS value, outcome FROM s
 def _tables(spark, folder):
     o, lines = read(spark, folder, "orders"), read(spark, folder, "lineitem")
     part = F.min("l_partkey") % 3
-    legs = lines.groupBy(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("leg")).agg(F.when(part == 0, "AIR").when(part == 1, "BUS").otherwise("CAR").alias("mode"))
+    # written once: decisions, rules and the ledger read shipped and legs many times
+    legs = stage(lines.groupBy(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("leg")).agg(F.when(part == 0, "AIR").when(part == 1, "BUS").otherwise("CAR").alias("mode")))
     modes = legs.groupBy("trip").agg(F.min_by("mode", "leg").alias("mode"))
     key = F.col("o_orderkey")
     shipped = o.select(
         F.col("o_custkey").alias("person"), key.alias("trip"), F.col("o_orderstatus").alias("motive"), (key % 7).alias("area"), (key % 7 % 3).alias("zone"),
         F.concat(F.lit("a"), (F.col("o_custkey") % 3).cast("string")).alias("answer"), F.lit("").alias("fixes"),
     ).join(modes, "trip")
+    shipped = stage(shipped)
     five = F.col("trip") % 5 == 0
     rules = shipped.where("trip % 17 <> 0").withColumns({"motive": F.when(five, "R").otherwise(F.col("motive")), "fixes": F.when(five, "motive:rule").otherwise("")})
     legs = legs.join(shipped.select("trip", "person"), "trip").select("person", "trip", "leg", "mode")
@@ -66,18 +67,24 @@ def _tables(spark, folder):
 
 
 def _decisions(shipped) -> DataFrame:
+    """All decisions of a row in one pass, and one of every fifth person."""
     t, m = F.col("trip"), lambda n: F.col("trip") % n == 0
-    row = lambda test, field, before, after, trip=t: shipped.where(test).select("person", trip.alias("trip"), F.lit(field).alias("field"), before.cast("string").alias("before"), after.cast("string").alias("after"))
+
+    def row(test, field, before, after, trip=t):
+        made = F.struct(trip.alias("trip"), F.lit(field).alias("field"), before.cast("string").alias("before"), after.cast("string").alias("after"))
+        return F.when(test, made)
+
     none, text = F.lit(""), F.lit
     shown = F.when(m(3), "X").when(m(34), F.col("motive")).when(m(5), "R").otherwise(F.col("motive"))
-    persons = shipped.where("person % 5 = 0").select("person", F.lit(0).cast("long").alias("trip"), F.lit("answer").alias("field"), F.col("answer").alias("before"), F.lit("b").alias("after")).distinct()
-    return reduce(DataFrame.unionByName, [
+    rows = F.array_compact(F.array(
         row(m(23), "status", none, text("Dropped")), row(m(101), "status", none, text("dropped"), -t), row(m(34) & ~m(23), "status", none, text("restored")),
         row(m(29) & ~m(34) & ~m(23), "status", none, text("restored")), row(m(97) & ~m(29) & ~m(34) & ~m(23), "status", none, text("maybe")),
         row(m(7), "motive", shown, F.when(m(11), "zz").when(m(4), "f").otherwise(" new ")), row(m(103), "motive", text("F"), text("new"), -t),
         row(m(13), "area", F.col("area"), (F.col("area") + 1) % 7), row(m(6), "mode", F.col("mode"), text("AIR")), row(m(89), "foo", none, text("x")),
-        row(m(83), "note", none, text("see")), row(m(41), "answer", F.col("answer"), text("b")), persons,
-    ])
+        row(m(83), "note", none, text("see")), row(m(41), "answer", F.col("answer"), text("b")),
+    ))
+    persons = shipped.where("person % 5 = 0").select("person", F.lit(0).cast("long").alias("trip"), F.lit("answer").alias("field"), F.col("answer").alias("before"), F.lit("b").alias("after")).distinct()
+    return shipped.select("person", F.explode(rows).alias("d")).select("person", "d.*").unionByName(persons)
 
 
 def _ledger(shipped) -> ledger.Ledger:

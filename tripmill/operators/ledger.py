@@ -49,7 +49,8 @@ def resolve(
     is not, a mode that none of several legs has); note. Values are compared as text."""
     key = [person, trip]
     there = lambda df, name: df.select(*key).distinct().withColumn(name, F.lit(True))
-    d = decisions.withColumn("told", F.lower(F.trim("after"))).join(there(current, "_now"), key, "left").join(there(shipped, "_was"), key, "left")
+    # written: rows, persons and outcomes all start from it
+    d = stage(decisions.withColumn("told", F.lower(F.trim("after"))).join(there(current, "_now"), key, "left").join(there(shipped, "_was"), key, "left"))
     now, was = F.col("_now").isNotNull(), F.col("_was").isNotNull()
     on_status = F.when(F.col("told") == DROPPED, F.when(now, "apply").when(was, "holds").otherwise("stale")).when(
         F.col("told") == RESTORED, F.when(now, "holds").when(was, "apply").otherwise("stale")
