@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripmill.sources.staging import spread, stage
+
 from . import chains, returns, timing
 
 
@@ -71,7 +73,8 @@ def clean_chains(trips: DataFrame, keys: Sequence[str], person: str, rules: Chai
     d = walk(_step(walk(d), "motive_usual", lambda x: chains.returns_elsewhere(x, person, r.back, among=~F.col("non_trip"))).drop("non_trip"))
     d = returns.next_morning_returns(d, [*keys, "non_trip"], r.back, r.work, r.evening)
     reason = F.when(F.col("non_trip"), "no_trip_at_home").when(F.col("next_morning"), "no_trip_next_morning")
-    c = d.select(*names, F.coalesce(reason, F.lit("")).alias("no_trip"))
+    # the rules before and after are many sorts; written here, they are not all held at once
+    c = spread(stage(d.select(*names, F.coalesce(reason, F.lit("")).alias("no_trip"))), *keys)
     within, trip = [*keys, "no_trip"], F.col("no_trip") == ""
 
     c = _step(c, "origin_before", lambda x: chains.continuous_origins(x, within), trip)
@@ -97,5 +100,6 @@ def clean_chains(trips: DataFrame, keys: Sequence[str], person: str, rules: Chai
 
 def chain_counts(cleaned: DataFrame) -> DataFrame:
     """(kind, code, rows) of the codes of clean_chains()."""
-    parts = [cleaned.select(F.lit(k).alias("kind"), F.explode(F.split(k, ";")).alias("code")) for k in ("fixes", "issues")]
-    return parts[0].unionByName(parts[1]).where("code <> ''").groupBy("kind", "code").agg(F.count("*").alias("rows"))
+    told = F.array(*[F.struct(F.lit(k).alias("kind"), F.split(k, ";").alias("codes")) for k in ("fixes", "issues")])
+    both = cleaned.select(F.inline(told)).select("kind", F.explode("codes").alias("code"))
+    return both.where("code <> ''").groupBy("kind", "code").agg(F.count("*").alias("rows"))
