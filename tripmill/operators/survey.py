@@ -352,7 +352,7 @@ def clean_survey(
 
 def clean_counts(cleaned: DataFrame) -> DataFrame:
     """(kind, code, rows, persons) of the codes that clean_survey() notes."""
-    parts = [cleaned.select("hh", "person", F.lit(k).alias("side"), F.explode(F.split(k, ";")).alias("code")) for k in ("fixes", "issues")]
-    both = parts[0].unionByName(parts[1]).where("code <> ''")
+    told = F.array(*[F.struct(F.lit(k).alias("side"), F.split(k, ";").alias("codes")) for k in ("fixes", "issues")])
+    both = cleaned.select("person", F.inline(told)).select("person", "side", F.explode("codes").alias("code")).where("code <> ''")
     per = both.groupBy("side", "code", "person").agg(F.count("*").alias("n"))
     return per.groupBy("side", "code").agg(F.sum("n").alias("rows"), F.count("*").alias("persons"))
