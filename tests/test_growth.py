@@ -56,3 +56,17 @@ def test_void_links_are_looked_up_from_the_link(spark):
     assert plan(links(trips)).count("LeftAnti") == 2
     key = lambda rows: {(r.trip_a, r.trip_b) for r in links(rows).collect()}
     assert key(trips) == {(1, 1), (2, 2), (3, 3)} and key(twice) == {(1, 1), (3, 3)}
+
+
+def test_only_near_pairs_are_put_in_order(spark):
+    from tripmill.operators import timing
+
+    donors = spark.range(3000).select(F.col("id").alias("d"), (F.col("id") * 7919 % 1009).alias("x"), (F.col("id") * 104729 % 997).alias("y"))
+    targets = donors.where("d % 100 = 0").select(F.col("d").alias("t"), "x", "y")
+    seen, got = {}, {}
+    for r in timing.nearest_donors(targets, donors, "t", "d", {}, {"x": 1.0, "y": 1.0}, 5, seen).collect():
+        got.setdefault(r.t, []).append((r.distance, r.d))
+    pool = donors.collect()
+    for t in targets.collect():
+        assert sorted(got[t.t]) == sorted((float(abs(t.x - o.x) + abs(t.y - o.y)), o.d) for o in pool)[:5]
+    assert seen["ordered"] < seen["compared"]
