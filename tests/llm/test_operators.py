@@ -156,6 +156,23 @@ def test_stage_links_all_similar_texts(spark):
     assert corpus_pipeline.near_duplicate_stage(spark, df.limit(0), "").count() == 0
 
 
+def test_the_stage_runs_no_step_without_effect(spark, monkeypatch):
+    """Fingerprints can only propose what the shingle sets link anyway, so the stage makes none."""
+
+    def used(*_):
+        raise AssertionError("fingerprints do not change the result")
+
+    base = long_text(90, 200)
+    df = spark.createDataFrame([(3, base), (1, base + " more"), (2, long_text(91, 200)), (4, None), (5, " ")], "doc_id long, text string")
+    whole, _ = overlap.class_links(df, scanned := overlap.stage(overlap.scan(df)))
+    more, _ = overlap.class_links(df, scanned, proposed=overlap._proposed(scanned, 3, 6))
+    groups = lambda links: {tuple(r) for r in overlap.components(links).collect()}
+    assert groups(whole) == groups(more) and len(groups(whole)) == 2
+    monkeypatch.setattr(simhash, "links", used)
+    monkeypatch.setattr(overlap, "_proposed", used)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()} == {1, 2, 4}
+
+
 def test_bpe_equals_the_library(spark, docs):
     import tiktoken
 
