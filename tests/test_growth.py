@@ -1,9 +1,11 @@
 """What must not grow with the tables: rows moved, tables read again, rows of a task."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tripmill.jobs import ledger as ledger_jobs
-from tripmill.operators import cleaning, companions, model_chain, reports
+from tripmill.operators import cleaning, companions, joins, model_chain, reports
 from tripmill.operators.model_chain import linear_scorer
 from tripmill.sources.staging import spread, stage
 
@@ -70,3 +72,48 @@ def test_only_near_pairs_are_put_in_order(spark):
     for t in targets.collect():
         assert sorted(got[t.t]) == sorted((float(abs(t.x - o.x) + abs(t.y - o.y)), o.d) for o in pool)[:5]
     assert seen["ordered"] < seen["compared"]
+
+
+def twins_by_pairs(persons, within):
+    """(person -> its twins (gap, differs, twin)) of rows (hh, person, kind, starts), by all pairs."""
+    out = {}
+    for h, p, k, s in persons:
+        gaps = [(max(abs(x - y) for x, y in zip(s, t)), k != l, q) for g, q, l, t in persons if g != h and len(s) == len(t)]
+        if found := sorted(g for g in gaps if g[0] <= within):
+            out[p] = found
+    return out
+
+
+def test_twins_make_no_pairs_of_persons(spark, monkeypatch):
+    def paired(*_, **__):
+        raise AssertionError("pairs of persons")
+
+    rng = random.Random(4)
+    persons = [(p // 3, p, rng.choice([0, 1, None]), [rng.randrange(480, 700), *sorted(rng.randrange(700, 900) for _ in range(p % 2 + 1))]) for p in range(150)]
+    persons += [(200 + p % 3, 200 + p, p % 2, [600, 650]) for p in range(80)] + [(300, 300 + p, 0, [1300, 1400]) for p in range(5)] + [(400, 400, 0, [1100, 1161]), (401, 401, 0, [1115, 1170])]
+    rows = [(1, h, p, t, x, "a") for h, p, _, s in persons for t, x in enumerate(s)]
+    rows += [(1, 500, 500, 0, None, "a"), (1, 500, 500, 1, 600, "a"), (None, 501, 501, 0, 600, "a"), (None, 501, 501, 1, 650, "a"), (1, None, 502, 0, 600, "a"), (1, None, 502, 1, 650, "a")]
+    chains = spark.createDataFrame(rows, "day int, hh long, person long, trip int, start long, motive string")
+    kinds = spark.createDataFrame([(p, k) for _, p, k, _ in persons], "person long, kind int")
+    want = twins_by_pairs(persons, 60)
+    diary = (["day"], "hh", "person", "trip", "start", ["motive"])
+    monkeypatch.setattr(joins, "repeated_diary_pairs", paired)
+    monkeypatch.setattr(joins, "TASK_ROWS", 500)  # more tasks than one
+    got = companions.closest_twin(joins.diaries_of(chains, *diary), kinds, ["day"], "person", ["kind"], 60, [(10, "minutes")], "hour").collect()
+    assert {r.person: (r.max_offset, not r.same, r.twin) for r in got} == {p: found[0] for p, found in want.items()}
+    assert all(r.offset_class == ("minutes" if r.max_offset <= 10 else "hour") for r in got) and len({r.max_offset for r in got}) > 3
+    # a hundred copies of a class: one comparison, not ten thousand
+    one = joins.diaries_of(chains.where("person BETWEEN 200 AND 279"), *diary)
+    classes = one.select("day", "sig", "s").distinct()
+    assert joins.meet_in_cells(classes, classes.withColumnRenamed("s", "t"), ["day", "sig"], 60).count() == 1
+
+
+def test_queries_on_twins_make_no_pairs_of_persons(spark, monkeypatch):
+    import __spark_entry__
+
+    def paired(*_, **__):
+        raise AssertionError("pairs of persons")
+
+    monkeypatch.setattr(joins, "repeated_diary_pairs", paired)
+    for name in ("closest_twin", "flag_repeated_diaries"):
+        assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count()

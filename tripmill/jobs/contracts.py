@@ -179,9 +179,8 @@ p AS (SELECT a.day, a.person FROM c a JOIN c b ON a.day = b.day AND a.sig = b.si
 )
 def flag_repeated_diaries(spark, folder):
     d = diary(spark, folder)
-    pairs = joins.repeated_diary_pairs(d, ["day"], "hh", "person", "trip", "start", ["motive"], 240)
-    sides = [("day", c) for c in pairs.columns if c.startswith("person")]
-    return reports.flag_repeated_diaries(d.select("day", "person").distinct(), pairs, ["day", "person"], sides)
+    twins = joins.nearest_twins(joins.diaries_of(d, ["day"], "hh", "person", "trip", "start", ["motive"]), ["day"], [], 240)
+    return reports.flag_repeated_diaries(d.select("day", "person").distinct(), twins, ["day", "person"], [("day", "p")])
 
 
 @query(
