@@ -102,6 +102,8 @@ def test_twins_make_no_pairs_of_persons(spark, monkeypatch):
     got = companions.closest_twin(joins.diaries_of(chains, *diary), kinds, ["day"], "person", ["kind"], 60, [(10, "minutes")], "hour").collect()
     assert {r.person: (r.max_offset, not r.same, r.twin) for r in got} == {p: found[0] for p, found in want.items()}
     assert all(r.offset_class == ("minutes" if r.max_offset <= 10 else "hour") for r in got) and len({r.max_offset for r in got}) > 3
+    counts = joins.diary_twins(chains, *diary, 60)
+    assert {r.person: r.twins for r in counts.collect()} == {p: len(found) for p, found in want.items()}
     # a hundred copies of a class: one comparison, not ten thousand
     one = joins.diaries_of(chains.where("person BETWEEN 200 AND 279"), *diary)
     classes = one.select("day", "sig", "s").distinct()
