@@ -118,4 +118,4 @@ def test_queries_on_twins_make_no_pairs_of_persons(spark, monkeypatch):
 
     monkeypatch.setattr(joins, "repeated_diary_pairs", paired)
     for name in ("closest_twin", "flag_repeated_diaries"):
-        assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count()
+        assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.01").count()
