@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tripmill.jobs import ledger as ledger_jobs
@@ -74,6 +75,63 @@ def test_only_near_pairs_are_put_in_order(spark):
     assert seen["ordered"] < seen["compared"]
 
 
+def test_a_group_hands_on_no_more_than_k_donors(spark):
+    """Pairs are compared in arrays; only a target's k nearest of a group become rows."""
+    from tripmill.operators import timing
+
+    donors = spark.range(1500).select(F.col("id").alias("d"), (F.col("id") * 7919 % 6007 / 7).alias("x"))
+    targets = donors.where("d % 60 = 0").select(F.col("d").alias("t"), (F.col("x") + 0.02).alias("x"))
+    seen, got = {}, {}
+    for r in timing.nearest_donors(targets, donors, "t", "d", {}, {"x": 1.0}, 5, seen).collect():
+        got.setdefault(r.t, []).append((r.distance, r.d))
+    ids, x = (np.array(c) for c in zip(*donors.collect()))
+    for t in targets.collect():
+        assert sorted(got[t.t]) == sorted(zip(timing.rounded(np.abs(t.x - x)).tolist(), ids.tolist()))[:5]
+    assert seen["ordered"] <= 25 * 5 * 3
+
+
+def test_targets_of_equal_features_are_one_cell(spark):
+    from tripmill.operators import timing
+
+    donors = spark.range(300).select(F.col("id").alias("d"), (F.col("id") % 20).alias("x"))
+    targets = spark.range(1000).select(F.col("id").alias("t"), F.lit(3.5).alias("x"))
+    asked, found = timing.nearest_by_cell(targets, donors, "t", "d", {}, {"x": 1.0}, 30)
+    assert asked.count() == 1000 and asked.select("_q").distinct().count() == 1
+    assert sorted((r.distance, r.d) for r in found.collect()) == sorted((abs(3.5 - i % 20), i) for i in range(300))[:30]
+
+
+def test_rounded_equals_spark(spark):
+    from tripmill.operators import timing
+
+    rng = np.random.default_rng(3)
+    x = [0.0, 0.5e-9, 1.5e-9, 2.5e-9, 0.1234567885, 1.0000000005, 2.0000000015, 8796.0930222085, 123456.1234567895, 1e8 + 0.1, 1e20, float("inf"), 1 / 60, 7 / 60]
+    x += list(rng.random(500) * 10.0 ** rng.integers(-6, 9, 500)) + [round(v, 9) + 5e-10 for v in rng.random(200)]
+    want = [r.r for r in spark.createDataFrame([(float(v), n) for n, v in enumerate(x)], "x double, n long").orderBy("n").select(F.round("x", 9).alias("r")).collect()]
+    assert timing.rounded(np.array(x)).tolist() == want
+
+
+def test_chains_without_lost_rows_are_written_once(spark, monkeypatch):
+    from tripmill.operators import survey
+
+    plain = [(p, k, 10 * p + k, 0, k, 1, 600 + p if k == 1 else 700 + p, 20, "shop" if k == 1 else "back", "mall") for p in range(40) for k in (1, 2)]
+    lost = [(50, k, 1000 + k, 0, k, 1, None if k < 4 else 900, 20, None if k < 4 else "back", None) for k in range(1, 5)]
+    names = "person long, trip long, event_id long, origin long, dest long, home long, start long, minutes long, motive string, kind string"
+    df = spark.createDataFrame(plain + lost, names).withColumn("fixes", F.array().cast("array<string>"))
+    rules = survey.SurveyRules("back", "other", same={"is_first": 1.0}, neighbours=5)
+    written, real = [], survey.stage
+
+    def staged(d):
+        out = real(d)
+        written.append((out.count(), "_open" in out.columns))
+        return out
+
+    monkeypatch.setattr(survey, "stage", staged)
+    got = survey.impute_untimed(df, ["person"], "event_id", rules)
+    assert got.count() == 84 and got.where("start IS NULL OR motive IS NULL").count() == 0 and got.columns == [*df.columns, "imputed"]
+    # three rows in three passes: the whole table once, then the chain that is still open
+    assert [n for n, rows in written if rows] == [84, 4, 4, 4]
+
+
 def twins_by_pairs(persons, within):
     """(person -> its twins (gap, differs, twin)) of rows (hh, person, kind, starts), by all pairs."""
     out = {}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,30 +88,39 @@ def _votes(near: DataFrame, donors: DataFrame, row: str) -> DataFrame:
 def impute_untimed(df: DataFrame, keys: Sequence[str], row: str, rules: SurveyRules, passes: int = 20) -> DataFrame:
     """Rows without a motive or a start take the vote of the nearest timed activities; a
     start is placed back from the next trip, after the arrival of the one before. A run of
-    such rows is filled from its end, one row in each pass; `imputed` marks the starts."""
-    w = over(keys)
+    such rows is filled from its end, one row in each pass; `imputed` marks the starts.
+    Chains without such rows are written once and only read from then on, as donors too."""
+    w, chain = over(keys), Window.partitionBy(*keys)
     out = df.withColumn("imputed", F.lit(False))
+    columns, done = out.columns, []
     pending = F.col("start").isNull() | F.col("motive").isNull()
-    for _ in range(passes):
-        if not out.where(pending).limit(1).count():
-            return out
+    whole = lambda tables: reduce(DataFrame.unionByName, tables)
+    while True:
         f = donor_mask(trip_features(out, keys, rules.mandatory)).withColumns(
             {
                 "stay": F.col("next_start") - F.col("start") - F.col("minutes"), "next_hour": F.col("next_start") / 60,
                 "within_zone": F.col("origin") == F.col("dest"), "from_home": F.col("origin") == F.col("home"),
                 "next_is_return": F.lead("motive").over(w).eqNullSafe(F.lit(rules.back)),
-                "_later": F.lead("start").over(w).isNull() & F.lead("trip").over(w).isNotNull(),
+                "_later": F.lead("start").over(w).isNull() & F.lead("trip").over(w).isNotNull(), "_open": F.max(pending).over(chain),
             }
         )
-        f = stage(f)
+        every = stage(f)
+        donors = whole([*done, every]).where(F.col("donor") & F.col("motive").isNotNull() & (F.col("motive") != rules.back)).withColumn("donor_id", F.col(row))
+        done.append(every.where(~F.col("_open")))
+        f = every.where("_open")
+        if f.isEmpty():
+            return whole(done).select(*columns)
+        if len(done) > passes:
+            raise ValueError(f"untimed trips left after {passes} passes")
         ready = pending & ~F.col("_later")
-        if not f.where(ready).limit(1).count():
+        if f.where(ready).isEmpty():
             ready = pending
-        donors = f.where(F.col("donor") & F.col("motive").isNotNull() & (F.col("motive") != rules.back)).withColumn("donor_id", F.col(row))
-        if not donors.limit(1).count():
+        if donors.isEmpty():
             raise ValueError("no timed activity to impute from")
-        near = timing.nearest_donors(f.where(ready), donors, row, "donor_id", rules.same, rules.numeric, rules.neighbours)
-        d = f.join(_votes(near, donors, row), row, "left")
+        # trips of equal features have the same donors and the same vote
+        asked, near = timing.nearest_by_cell(f.where(ready), donors, row, "donor_id", rules.same, rules.numeric, rules.neighbours)
+        votes = asked.join(_votes(stage(near), donors, "_q"), "_q").drop("_q")
+        d = f.join(votes, row, "left")
         latest = F.col("next_start") - F.col("minutes")
         guess = F.greatest(F.coalesce(latest - F.col("v_stay"), F.col("v_start")), F.col("prev_arrival"))
         placed = F.least(F.greatest(F.round(F.when(latest.isNull(), guess).otherwise(F.least(guess, latest))), F.lit(0)), F.lit(1439)).cast("long")
@@ -120,10 +130,7 @@ def impute_untimed(df: DataFrame, keys: Sequence[str], row: str, rules: SurveyRu
             d, voted, [("hour:neighbours", F.col("start").isNull()), ("motive:neighbours", bare)],
             {"start": F.coalesce("start", placed), "kind": F.when(bare, F.col("v_kind")).otherwise(F.col("kind")), "motive": F.coalesce("motive", "v_motive")},
         )
-        out = stage(d.select(*out.columns))
-    if out.where(pending).limit(1).count():
-        raise ValueError(f"untimed trips left after {passes} passes")
-    return out
+        out = d.select(*columns)
 
 
 def _lost_block(d: DataFrame, keys: Sequence[str], r: SurveyRules) -> DataFrame:

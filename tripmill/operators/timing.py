@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripmill.sources.staging import stage
+from tripmill.sources.staging import found_by_workers, stage
 
 from .chains import day_wraps, slide_to_arrival
 
-#: Groups of donors at most, and donors of a group that one task looks at.
-GROUPS, GROUP_ROWS = 4_096, 4_096
+#: Groups of donors at most, donors that a group should have, donors of a group that one task
+#: looks at, and pairs of cells that it compares at once.
+GROUPS, GROUP_LEAST, GROUP_ROWS, PAIRS = 4_096, 64, 65_536, 1 << 18
 
 #: Hours added to a start, cost, first and last hour of the start it applies to.
 HOUR_EDITS = ((12, 1.0, 0, 11), (-12, 1.1, 17, 23), (-10, 1.2, 15, 19), (10, 1.5, 0, 9), (2, 2.0, 10, 19))
@@ -37,8 +39,8 @@ def _groups(pool: DataFrame, same: dict[str, float], numeric: dict[str, float])
     tuples = [c for k, c in enumerate(order) if sizes[f"t{k}"] * 1.2 <= GROUPS]
     tuples = tuples[: next((k for k, c in enumerate(order) if c not in tuples), len(order))]
     kinds = max(1.0, sizes[f"t{len(tuples) - 1}"] * 1.2) if tuples else 1.0
-    bands = max(1, int((GROUPS / kinds) ** (1 / len(numeric)))) if numeric else 1
-    bands = min(bands, max(1, sizes["n"] // 16))
+    wanted = max(1.0, min(GROUPS, sizes["n"] / GROUP_LEAST) / kinds)
+    bands = int(wanted ** (1 / len(numeric))) if numeric else 1
     by = [F.col(f"_{c}").alias(f"_c_{c}") for c in tuples]
     if bands > 1:
         cuts = pool.agg(*[F.percentile_approx(f"_{c}", [j / bands for j in range(1, bands)]).alias(c) for c in numeric]).first()
@@ -56,19 +58,18 @@ def _groups(pool: DataFrame, same: dict[str, float], numeric: dict[str, float])
         return banded.withColumns({"_g": F.lit(0), "_salt": F.lit(0)}).drop(*names), table
     small = spark.createDataFrame(table[["_g", "_salts", *names]].astype({"_g": "int64", "_salts": "int64"}))
     placed = banded.join(F.broadcast(small), names) if names else banded.crossJoin(F.broadcast(small))
-    return placed.withColumn("_salt", F.pmod(F.xxhash64("_d"), F.col("_salts"))).drop("_salts", *names), table
+    return placed.withColumn("_salt", F.pmod(F.xxhash64(*[f"_{c}" for c in (*same, *numeric)]), F.col("_salts"))).drop("_salts", *names), table
 
 
-def _visits(kinds: DataFrame, table: pd.DataFrame, same: dict[str, float], numeric: dict[str, float], k: int, further: bool) -> DataFrame:
-    """(features, _g, _salt): the groups that each target cell must look at. First those of
-    the least bounds that together hold k donors; further, the others whose bound is not
-    above `_far`, the k-th distance found in the first, which goes along."""
+def _visits(kinds: DataFrame, table: pd.DataFrame, same: dict[str, float], numeric: dict[str, float], k: int) -> DataFrame:
+    """(_q, features, _far, _g, _salt): the groups that each target cell (_q) must look at:
+    those whose bound is not above `_far`, a distance that k donors are known not to exceed;
+    where kinds has none yet, those of the least bounds that together hold k donors."""
     context = kinds.sparkSession.sparkContext
-    told = context.broadcast(table)
+    told, further = context.broadcast(table), "_far" in kinds.columns
     # few rows, much work each: a number of tasks that is not coalesced
-    tasks = max(context.defaultParallelism, int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    kinds = kinds.repartition(tasks, *[f"_{c}" for c in (*same, *numeric)])
-    features = [f"_{c}" for c in (*same, *numeric)] + (["_far"] if further else [])
+    kinds = kinds.repartition(_tasks(kinds), "_q")
+    given = ["_q", *[f"_{c}" for c in (*same, *numeric)]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = told.value
@@ -82,22 +83,151 @@ def _visits(kinds: DataFrame, table: pd.DataFrame, same: dict[str, float], numer
                         bound += weight * (q[f"_{c}"].to_numpy(np.int64)[:, None] != t[f"_c_{c}"].to_numpy(np.int64)[None, :])
                 for c, weight in numeric.items():
                     x = q[f"_{c}"].to_numpy(float)[:, None]
-                    bound += weight * np.maximum(np.maximum(t[f"_lo_{c}"].to_numpy(float) - x, x - t[f"_hi_{c}"].to_numpy(float)), 0)
-                near = np.argsort(bound, axis=1, kind="stable")
-                held = np.cumsum(size[near], axis=1)
-                first = np.zeros(bound.shape, bool)
-                np.put_along_axis(first, near, np.hstack([np.ones((len(q), 1), bool), held[:, :-1] < k]), 1)
-                chosen = ~first & (bound <= q["_far"].to_numpy(float)[:, None] + 1e-9) if further else first
+                    bound += weight * np.fmax(np.fmax(t[f"_lo_{c}"].to_numpy(float) - x, x - t[f"_hi_{c}"].to_numpy(float)), 0)
+                if further:
+                    far = q["_far"].to_numpy(float)
+                    chosen = bound <= far[:, None] + 1e-9
+                else:
+                    far, chosen = np.full(len(q), np.inf), np.zeros(bound.shape, bool)
+                    near = np.argsort(bound, axis=1, kind="stable")
+                    held = np.cumsum(size[near], axis=1)
+                    np.put_along_axis(chosen, near, np.hstack([np.ones((len(q), 1), bool), held[:, :-1] < k]), 1)
                 row, group = np.nonzero(chosen)
                 times = salts[group]
                 row, group = np.repeat(row, times), np.repeat(group, times)
                 salt = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                yield q.iloc[row][features].assign(_g=ids[group], _salt=salt)
+                yield q.iloc[row][given].assign(_far=far[row], _g=ids[group], _salt=salt)
 
-    schema = ", ".join([*(f"`_{c}` long" for c in same), *(f"`_{c}` double" for c in numeric), *(["_far double"] if further else []), "_g long, _salt long"])
+    schema = ", ".join(["_q long", *(f"`_{c}` long" for c in same), *(f"`_{c}` double" for c in numeric), "_far double, _g long, _salt long"])
     return kinds.mapInPandas(run, schema)
 
 
+def _tasks(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """x to nine places as Spark rounds: halves of the written number away from zero."""
+    whole = np.abs(x) >= 1e8  # no places left to round
+    y = np.where(whole, 0.0, x) * 1e9
+    out = np.where(whole, x, np.rint(y) / 1e9)
+    for i in np.flatnonzero(~whole & ((np.abs(y - np.floor(y) - 0.5) < 0.01) | (np.abs(y) > 2.0**43))):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+    return out
+
+
+def _nearest_of(donors: list[np.ndarray], targets: list[np.ndarray], far: np.ndarray, weights: list[float], categories: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(target's position, distance, donor), in this order, of the k nearest donors of each
+    target, none farther than `far`. donors: a column for each feature (the first of them
+    categories) and their ids; targets: the features. Distances are taken between cells."""
+    order = np.lexsort((donors[-1], *donors[-2::-1]))
+    who, features = donors[-1][order], [c[order] for c in donors[:-1]]
+    new = np.ones(len(who), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in features]) if features else False
+    first = np.flatnonzero(new)
+    held = np.diff(np.append(first, len(who)))
+    cells = [c[first] for c in features]
+    # what all cells share is taken once for a target
+    cells = [c[:1] if (c == c[0]).all() else c for c in cells]
+    most, step, out = min(k, len(first)), max(1, PAIRS // len(first)), []
+    for lo in range(0, len(far), step):
+        end = far[lo : lo + step]
+        d = np.zeros((len(end), 1))
+        for n, (c, q, weight) in enumerate(zip(cells, targets, weights)):
+            q = q[lo : lo + step, None]
+            d = d + (np.where(q != c, weight, 0.0) if n < categories else weight * np.abs(q - c))
+        d = np.broadcast_to(np.where(np.isnan(d), np.inf, d), (len(end), len(first)))
+        near = np.argpartition(d, most - 1, axis=1)[:, :most] if most < len(first) else np.broadcast_to(np.arange(most), d.shape)
+        near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1), 1)
+        enough = np.cumsum(held[near], axis=1) >= k
+        last = np.take_along_axis(d, near, 1)[np.arange(len(end)), np.argmax(enough, axis=1)]
+        # rounding moves a distance by less than the margin
+        row, cell = np.nonzero(d <= (np.minimum(np.where(enough[:, -1], last, np.inf), end) + 2e-9)[:, None])
+        times = held[cell]
+        at = np.arange(times.sum()) + np.repeat(first[cell] - np.cumsum(times) + times, times)
+        distance, row, donor = np.repeat(rounded(d[row, cell]), times), np.repeat(row, times), who[at]
+        order = np.lexsort((donor, distance, row))
+        order = order[distance[order] <= end[row[order]]]
+        sorted_row = row[order]
+        order = order[np.arange(len(order)) - np.searchsorted(sorted_row, sorted_row) < k]
+        out.append((row[order] + lo, distance[order], donor[order]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _met(visits: DataFrame, sides: DataFrame, same: dict[str, float], numeric: dict[str, float], k: int) -> DataFrame:
+    """(_q, _near): of each visit the k nearest donors of the group (distance, donor), in order.
+    The rows of a group come to one task, donors first, and its targets pass by in batches."""
+    names, weights = [f"_{c}" for c in (*same, *numeric)], [float(w) for w in (*same.values(), *numeric.values())]
+    rows = sides.select("_g", "_salt", F.lit(0).alias("_side"), F.col("_d").alias("_id"), F.lit(0.0).alias("_far"), *names)
+    rows = rows.unionByName(visits.select("_g", "_salt", F.lit(1).alias("_side"), F.col("_q").alias("_id"), "_far", *names))
+    rows = rows.repartition(_tasks(visits), "_g", "_salt").sortWithinPartitions("_g", "_salt", "_side")
+    found_by_workers(visits.sparkSession)
+    found_type = pa.struct([("far", pa.float64()), ("who", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, donors, whole = None, [], None
+        for batch in batches:
+            g, salt, side, ids, far, *features = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(g):
+                continue
+            cuts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (salt[1:] != salt[:-1]) | (side[1:] != side[:-1])])
+            asked, near = [], []
+            for i, j in zip(cuts, np.append(cuts[1:], len(g))):
+                if group != (g[i], salt[i]):
+                    group, donors, whole = (g[i], salt[i]), [], None
+                if not side[i]:
+                    donors.append([*(c[i:j] for c in features), ids[i:j]])
+                    continue
+                if whole is None:
+                    whole = [np.concatenate(c) for c in zip(*donors)]
+                row, distance, who = _nearest_of(whole, [c[i:j] for c in features], far[i:j], weights, len(same), k)
+                asked.append(ids[i:j][row])
+                near.append((distance, who))
+            if not asked or not len(who_asked := np.concatenate(asked)):
+                continue
+            distance, who = (np.concatenate(x) for x in zip(*near))
+            starts = np.flatnonzero(np.r_[True, who_asked[1:] != who_asked[:-1]])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(who_asked)), pa.int32()), pa.StructArray.from_arrays([pa.array(distance), pa.array(who)], fields=list(found_type)))
+            yield pa.RecordBatch.from_arrays([pa.array(who_asked[starts]), lists], names=["_q", "_near"])
+
+    return rows.mapInArrow(run, "_q long, _near array<struct<far: double, who: long>>")
+
+
+def nearest_by_cell(
+    targets: DataFrame, donors: DataFrame, key: str, donor: str, same: dict[str, float], numeric: dict[str, float], k: int = 30, report: dict | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(asked, found): asked (key, _q) names each target's cell, found (_q, donor, distance)
+    has the donors of a cell once, as nearest_donors() describes them."""
+    names = [*same, *numeric]
+
+    def cells(df: DataFrame, own: str, name: str, none: int) -> DataFrame:
+        codes = [F.when(F.col(c).isNull(), none).otherwise(F.xxhash64(c)).alias(f"_{c}") for c in same]
+        numbers = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_{c}") for c in numeric]
+        return df.select(F.col(own).cast("long").alias(name), *codes, *numbers)
+
+    features = [f"_{c}" for c in names]
+    asked = cells(targets, key, "_t", -1)
+    first = Window.partitionBy(*features).orderBy("_d")
+    pool = stage(cells(donors, donor, "_d", -2).where("_d IS NOT NULL").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n"))
+    sides, table = _groups(pool, same, numeric)
+    # written, so that a cell keeps its number
+    kinds = stage(asked.select(*features).distinct().withColumn("_q", F.monotonically_increasing_id()))
+
+    def nearest(visits: DataFrame) -> DataFrame:
+        return _met(visits, sides, same, numeric, k).groupBy("_q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_near"))
+
+    early = _visits(kinds, table, same, numeric, k)
+    far = F.when(F.size("_near") >= k, F.get("_near", F.lit(k - 1))["far"]).otherwise(F.lit(float("inf")))
+    more = _visits(kinds.join(nearest(early).select("_q", far.alias("_far")), "_q"), table, same, numeric, k)
+    if report is not None:
+        sizes = sides.groupBy("_g", "_salt").agg(F.count("*").alias("n"))
+        seen = [v.join(sizes, ["_g", "_salt"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for v in (early, more)]
+        ordered = [_met(v, sides, same, numeric, k).agg(F.coalesce(F.sum(F.size("_near")), F.lit(0))).first()[0] for v in (early, more)]
+        report |= {"compared": sum(seen), "ordered": sum(ordered), "all": kinds.count() * pool.count(), "groups": len(table)}
+    found = nearest(more).select("_q", F.inline("_near")).select("_q", F.col("who").alias(donor), F.col("far").alias("distance"))
+    return asked.join(kinds, features).select(F.col("_t").alias(key), "_q"), found
+
+
 def nearest_donors(
     targets: DataFrame, donors: DataFrame, key: str, donor: str, same: dict[str, float], numeric: dict[str, float], k: int = 30, report: dict | None = None
 ) -> DataFrame:
@@ -111,50 +241,13 @@ def nearest_donors(
     chosen. Donors are grouped by categories and bands of their numbers, and a group's
     ranges bound the distance to all of it from below. A target cell first looks at the
     groups of the least bounds that hold k donors; the k-th distance among them is an
-    upper limit, so only groups whose bound is not above it are looked at further. Large
-    groups are dealt over tasks. Only pairs within that limit are put in order. report, if
-    given, receives the pairs compared, those put in order and those that there are (more passes).
+    upper limit, so only groups whose bound is not above it are looked at in the end. Large
+    groups are dealt over tasks. A group hands on k donors of a target at most, taken from
+    its cells in arrays. report, if given, receives the pairs within the groups looked at, those
+    handed on and those that there are (more passes).
     """
-    names = [*same, *numeric]
-
-    def cells(df: DataFrame, own: str, name: str, none: int) -> DataFrame:
-        codes = [F.when(F.col(c).isNull(), none).otherwise(F.xxhash64(c)).alias(f"_{c}") for c in same]
-        numbers = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_{c}") for c in numeric]
-        return df.select(F.col(own).cast("long").alias(name), *codes, *numbers)
-
-    features = [f"_{c}" for c in names]
-    asked = cells(targets, key, "_t", -1)
-    first = Window.partitionBy(*features).orderBy("_d")
-    pool = stage(cells(donors, donor, "_d", -2).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n"))
-    pool, table = _groups(pool, same, numeric)
-    sides = pool.withColumnsRenamed({f: f"_o{f}" for f in features})
-    kinds = asked.select(*features).distinct()
-    far = reduce(
-        lambda a, b: a + b,
-        [F.when(F.col(f"_{c}") != F.col(f"_o_{c}"), float(w)).otherwise(0.0) for c, w in same.items()]
-        + [float(w) * F.abs(F.col(f"_{c}") - F.col(f"_o_{c}")) for c, w in numeric.items()],
-        F.lit(0.0),
-    )
-    best = Window.partitionBy(*features).orderBy("_far", "_who")
-
-    def pairs(visits: DataFrame) -> DataFrame:
-        met = visits.join(sides, ["_g", "_salt"]).withColumn("_is", F.round(far, 9))
-        # k donors are not above the limit, so whatever is above it cannot be among the nearest
-        met = met.where(F.col("_is") <= F.col("_far")) if "_far" in visits.columns else met
-        return met.select(*features, F.col("_d").alias("_who"), F.col("_is").alias("_far"))
-
-    def nearest(found: DataFrame) -> DataFrame:
-        return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
-
-    near = stage(nearest(pairs(_visits(kinds, table, same, numeric, k, False))))
-    edge = near.groupBy(*features).agg(F.when(F.count("*") >= k, F.max("_far")).otherwise(F.lit(float("inf"))).alias("_far"))
-    more = _visits(edge, table, same, numeric, k, True)
-    if report is not None:
-        early = _visits(kinds, table, same, numeric, k, False)
-        seen = [v.join(sides, ["_g", "_salt"]).count() for v in (early, more)]
-        report |= {"compared": sum(seen), "ordered": pairs(early).count() + pairs(more).count(), "all": kinds.count() * pool.count(), "groups": len(table)}
-    found = nearest(near.unionByName(pairs(more)))
-    return asked.join(found, features).select(F.col("_t").alias(key), F.col("_who").alias(donor), F.col("_far").alias("distance"))
+    asked, found = nearest_by_cell(targets, donors, key, donor, same, numeric, k, report)
+    return asked.join(found, "_q").drop("_q")
 
 
 def knn_impute(near: DataFrame, donors: DataFrame, key: str, donor: str, motive: str, start: str, duration: str) -> DataFrame:
